@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.operators import units
+from quoteloom.operators import profile, units
 from quoteloom.session import table
 
 
@@ -21,5 +21,51 @@ def p1_units(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("unit", "taxed", "unit_from_row").agg(F.count("*").alias("n"), F.sum("annual_pence").alias("annual_pence"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_units": p1_units}
-SQL: dict[str, str] = {}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    profiles = profile.profile_loads(table(spark, d, "quotes"), table(spark, d, "risks"))
+    return profile.load_issues(profiles, table(spark, d, "loads"))
+
+
+def p6_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The state of each load and field."""
+    return profile.profile_loads(table(spark, d, "quotes"), table(spark, d, "risks")).select("load_id", "field_id", "n_rows", "n_null", "n_distinct", "least", "most", "n_outside", "n_pattern")
+
+
+def p6_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Rare masks and mask divergence of each load and field."""
+    return profile.load_masks(table(spark, d, "quotes"), table(spark, d, "risks"), table(spark, d, "loads"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_units": p1_units, "p6_found": p6_found, "p6_profile": p6_profile, "p6_masks": p6_masks}
+
+_P6_STATE = """
+    state AS (
+      SELECT load_id, 'premium' AS field_id, CASE WHEN NOT isnan(premium) THEN premium END AS v FROM quotes
+      UNION ALL SELECT load_id, 'voluntary_excess', CASE WHEN NOT isnan(voluntary_excess) THEN voluntary_excess END FROM risks),
+    profiles AS (
+      SELECT load_id, field_id, count(*) AS n_rows, count(*) - count(v) AS n_null, count(DISTINCT v) AS n_distinct, min(v) AS least, max(v) AS most,
+             count(*) FILTER (WHERE v < 0 OR v > CASE field_id WHEN 'premium' THEN 25000 ELSE 2000 END) AS n_outside,
+             count(*) FILTER (WHERE CASE field_id WHEN 'premium' THEN abs(v * 100 - round(v * 100)) ELSE abs(v / 50 - round(v / 50)) END > 0.0001) AS n_pattern
+      FROM state GROUP BY load_id, field_id
+      UNION ALL
+      SELECT load_id, 'quoted', count(*), count(*) - count(quoted), count(DISTINCT quoted), NULL, NULL, 0, 0 FROM quotes GROUP BY load_id)"""
+
+SQL: dict[str, str] = {
+    "p6_profile": f"WITH {_P6_STATE} SELECT * FROM profiles",
+    "p6_found": f"""WITH {_P6_STATE},
+    levels AS (
+      SELECT load_id, 'quoted' AS field_id, avg(CAST(quoted AS INTEGER)) AS level FROM quotes GROUP BY load_id
+      UNION ALL SELECT load_id, 'premium', median(premium) FROM quotes WHERE quoted AND premium > 0 AND NOT isnan(premium) GROUP BY load_id
+      UNION ALL SELECT load_id, 'voluntary_excess', avg(voluntary_excess) FROM risks WHERE voluntary_excess BETWEEN 0 AND 2000 GROUP BY load_id),
+    both_ AS (
+      SELECT p.*, v.level, b.n_rows AS n_rows_b, b.n_null AS n_null_b, b.n_distinct AS n_distinct_b, lb.level AS level_b
+      FROM profiles p LEFT JOIN levels v USING (load_id, field_id) LEFT JOIN loads l USING (load_id)
+      LEFT JOIN profiles b ON b.load_id = l.prior_load_id AND b.field_id = p.field_id
+      LEFT JOIN levels lb ON lb.load_id = l.prior_load_id AND lb.field_id = p.field_id)
+    SELECT load_id, field_id, 'value_range' AS issue_code FROM both_ WHERE n_outside > 0
+    UNION ALL SELECT load_id, field_id, 'pattern' FROM both_ WHERE n_pattern > 0
+    UNION ALL SELECT load_id, field_id, 'null_rate' FROM both_ WHERE abs(n_null / n_rows - n_null_b / n_rows_b) > 0.15
+    UNION ALL SELECT load_id, field_id, 'distinct_count' FROM both_ WHERE n_distinct < 0.6 * n_distinct_b OR n_distinct > 1.7 * n_distinct_b
+    UNION ALL SELECT load_id, field_id, 'distribution' FROM both_
+      WHERE CASE WHEN field_id = 'quoted' THEN abs(level - level_b) > 0.08 WHEN level_b <> 0 THEN level / level_b > 1.25 OR level / level_b < 0.8 ELSE FALSE END""",
+}
