@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quoteloom.operators import profile, units
 from quoteloom.session import table
+from quoteloom.sources import feeds
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +37,35 @@ def p6_masks(spark: SparkSession, d: str) -> DataFrame:
     return profile.load_masks(table(spark, d, "quotes"), table(spark, d, "risks"), table(spark, d, "loads"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_units": p1_units, "p6_found": p6_found, "p6_profile": p6_profile, "p6_masks": p6_masks}
+def _records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    lines, files, names = (table(spark, d, n) for n in ("vendor_lines", "vendor_files", "spec_columns"))
+    read = feeds.read_feeds(lines, files, names)
+    return feeds.promote(read, files, names), feeds.file_headers(lines, files, names), files
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    records, headers, _ = _records(spark, d)
+    return feeds.judged(records, headers).where("reason_code is not null").select("line_id", "reason_code")
+
+
+def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The sound records as typed quotes."""
+    records, headers, _ = _records(spark, d)
+    return feeds.typed(feeds.judged(records, headers).where("reason_code is null").drop("reason_code"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    records, headers, files = _records(spark, d)
+    return feeds.feed_changes(headers, feeds.value_kinds(records), files).select("file_id", "change_kind", "header_text")
+
+
+def p7_table(spark: SparkSession, d: str) -> DataFrame:
+    """All readable records of all files as one table, what does not fit kept as JSON."""
+    records, _, _ = _records(spark, d)
+    return feeds.typed(records.where("reason is null").drop("reason"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_units": p1_units, "p5_found": p5_found, "p5_loaded": p5_loaded, "p6_found": p6_found, "p6_profile": p6_profile, "p6_masks": p6_masks, "p7_found": p7_found, "p7_table": p7_table}
 
 _P6_STATE = """
     state AS (
