@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import topn
+from quoteloom.llm import mapping, topn
 from quoteloom.session import table
 
 
@@ -13,7 +13,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.cheapest_brands(table(spark, d, "quotes")).select("risk_id", "rank_no", "quote_id")
 
 
-QUERIES = {"p2_found": p2_found}
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.map_values(*(table(spark, d, n) for n in ("vendor_quotes", "providers", "brand_aliases", "building_types")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d)
+
+
+def p3_misses(spark: SparkSession, d: str) -> DataFrame:
+    """What no entry was found for, with how often it stands."""
+    texts = table(spark, d, "vendor_quotes").select("vq_id", "brand_text", "property_text")
+    text = F.when(F.col("field_id") == "brand", F.col("brand_text")).otherwise(F.col("property_text"))
+    missed = _mapped(spark, d).where(F.col("mapped_to") == mapping.UNMATCHED)
+    return missed.join(texts, "vq_id").groupBy("field_id", text.alias("text")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_misses": p3_misses}
 
 SQL: dict[str, str] = {
     "p2_found": """
