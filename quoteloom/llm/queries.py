@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import mapping, topn
+from quoteloom.llm import leakage, mapping, topn
 from quoteloom.session import table
 
 
@@ -29,7 +29,17 @@ def p3_misses(spark: SparkSession, d: str) -> DataFrame:
     return missed.join(texts, "vq_id").groupBy("field_id", text.alias("text")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_misses": p3_misses}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with leaked spans removed."""
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    return leakage.without_leaks(documents, leakage.find_leaks(documents, table(spark, d, "eval_items")))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_misses": p3_misses, "p8_found": p8_found, "p8_cleaned": p8_cleaned}
 
 SQL: dict[str, str] = {
     "p2_found": """
