@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import leakage, mapping, topn
+from quoteloom.llm import language, leakage, mapping, topn
 from quoteloom.session import table
 
 
@@ -39,7 +39,18 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(documents, leakage.find_leaks(documents, table(spark, d, "eval_items")))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_misses": p3_misses, "p8_found": p8_found, "p8_cleaned": p8_cleaned}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.language_issues(table(spark, d, "documents")).select("doc_id", "para_no", "lang")
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document and paragraph with its language and confidence."""
+    documents = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = language.fit(language.labelled_sample(documents))
+    return language.detect(documents, model).drop("doc_lang")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_misses": p3_misses, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p10_languages": p10_languages}
 
 SQL: dict[str, str] = {
     "p2_found": """
