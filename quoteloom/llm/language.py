@@ -36,6 +36,21 @@ LABELS: dict[str, list[str]] = {
     "sv": ["sv", "swe", "swedish", "svenska"],
 }
 CODES = [*LABELS]
+#: Everyday and polite sentences of each language, which give it a further centroid; they stand in no label.
+SEEDS: dict[str, str] = {
+    "en": "Thank you for your patience. Thank you in advance. Please reply by Friday. Please contact us as soon as possible. Kind regards, the claims team. Best wishes, your insurance team. Yours sincerely. Dear customer, we look forward to hearing from you. Have a nice day. See you next week. This is not what we have said and it will be sent to you today.",
+    "ca": "Moltes gràcies per la vostra paciència. Gràcies per endavant. Si us plau, responeu abans de divendres. Poseu-vos en contacte amb nosaltres al més aviat possible. Salutacions cordials, el departament de sinistres. Atentament, el vostre equip d'assegurances. Benvolgut client, quedem a l'espera de la vostra resposta. Que tingueu un bon dia. Fins la setmana que ve. Això no és el que hem dit i us ho enviarem avui.",
+    "cy": "Diolch am eich amynedd. Diolch ymlaen llaw. Atebwch cyn dydd Gwener os gwelwch yn dda. Cysylltwch â ni cyn gynted â phosibl. Cofion gorau, y tîm hawliadau. Yn gywir, eich tîm yswiriant. Annwyl gwsmer, edrychwn ymlaen at glywed gennych. Cael diwrnod da. Gwelwn ni chi yr wythnos nesaf. Nid dyma a ddywedwyd gennym a bydd yn cael ei anfon atoch heddiw.",
+    "da": "Tak for din tålmodighed. På forhånd tak. Svar venligst inden fredag. Kontakt os venligst hurtigst muligt. Med venlig hilsen, skadeafdelingen. De bedste hilsner, dit forsikringsteam. Kære kunde, vi ser frem til at høre fra dig. Hav en god dag. Vi ses i næste uge. Det er ikke det, vi har sagt, og det bliver sendt til dig i dag.",
+    "de": "Vielen Dank für Ihre Geduld. Vielen Dank im Voraus. Bitte antworten Sie bis Freitag. Bitte melden Sie sich so bald wie möglich bei uns. Mit freundlichen Grüßen, Ihre Schadenabteilung. Beste Grüße, Ihr Versicherungsteam. Sehr geehrter Kunde, wir freuen uns auf Ihre Antwort. Einen schönen Tag noch. Bis nächste Woche. Das ist nicht, was wir gesagt haben, und es wird Ihnen heute zugesandt.",
+    "es": "Muchas gracias por su paciencia. Gracias de antemano. Responda antes del viernes, por favor. Póngase en contacto con nosotros lo antes posible. Un cordial saludo, el departamento de siniestros. Atentamente, su equipo de seguros. Estimado cliente, quedamos a la espera de su respuesta. Que tenga un buen día. Hasta la semana que viene. Esto no es lo que hemos dicho y se lo enviaremos hoy.",
+    "fr": "Merci de votre patience. Merci d'avance. Merci de répondre avant vendredi. Veuillez nous contacter dès que possible. Cordialement, le service des sinistres. Bien à vous, votre équipe d'assurance. Cher client, nous restons dans l'attente de votre réponse. Bonne journée. À la semaine prochaine. Ce n'est pas ce que nous avons dit et cela vous sera envoyé aujourd'hui.",
+    "it": "Grazie per la vostra pazienza. Grazie in anticipo. Rispondete entro venerdì, per favore. Vi preghiamo di contattarci al più presto. Cordiali saluti, l'ufficio sinistri. Distinti saluti, la vostra squadra assicurativa. Gentile cliente, restiamo in attesa di una vostra risposta. Buona giornata. Alla prossima settimana. Questo non è quello che abbiamo detto e vi sarà inviato oggi.",
+    "nl": "Dank u voor uw geduld. Bij voorbaat dank. Graag antwoord voor vrijdag. Neem zo snel mogelijk contact met ons op. Met vriendelijke groet, de schadeafdeling. Hartelijke groeten, uw verzekeringsteam. Geachte klant, wij kijken uit naar uw reactie. Nog een fijne dag. Tot volgende week. Dit is niet wat wij hebben gezegd en het wordt u vandaag toegestuurd.",
+    "pl": "Dziękujemy za cierpliwość. Z góry dziękujemy. Prosimy o odpowiedź do piątku. Prosimy o jak najszybszy kontakt. Z poważaniem, dział likwidacji szkód. Pozdrawiamy, zespół ubezpieczeń. Szanowny kliencie, czekamy na odpowiedź. Miłego dnia. Do zobaczenia w przyszłym tygodniu. To nie jest to, co powiedzieliśmy, i zostanie wysłane dzisiaj.",
+    "pt": "Obrigado pela sua paciência. Agradecemos desde já. Responda até sexta-feira, por favor. Entre em contacto connosco o mais breve possível. Com os melhores cumprimentos, o departamento de sinistros. Atenciosamente, a sua equipa de seguros. Caro cliente, ficamos a aguardar a sua resposta. Tenha um bom dia. Até à próxima semana. Isto não é o que dissemos e será enviado hoje para si.",
+    "sv": "Tack för ditt tålamod. Tack på förhand. Vänligen svara före fredag. Kontakta oss så snart som möjligt. Med vänliga hälsningar, skadeavdelningen. Bästa hälsningar, ditt försäkringsteam. Bästa kund, vi ser fram emot att höra från dig. Ha en bra dag. Vi ses nästa vecka. Det är inte vad vi har sagt och det kommer att skickas till dig i dag.",
+}
 NONE = "und"
 BITS = 15
 SIZE = 1 << BITS
@@ -153,7 +168,11 @@ def _dots(seg, bucket, w, centroids, n) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, str]], *, clusters: int = 4, rounds: int = 4) -> Model:
-    """A model from (code, text). Segments nearer to another language than their label's are left out round by round."""
+    """A model from (code, text). Segments nearer to another language than their label's are left out round by round.
+
+    Every language has one centroid of the seed sentences and up to ``clusters`` of the sample's segments. Without
+    any labelled text there is no model: everything is rejected.
+    """
     texts, labels = [], []
     for code, text in rows:
         for p in paragraphs(text):
@@ -164,18 +183,26 @@ def fit(rows: list[tuple[str, str]], *, clusters: int = 4, rounds: int = 4) -> M
                     labels += [CODES.index(code)] * (1 if plain == t else 2)
     if not texts:
         return Model(np.ones(SIZE), np.zeros((SIZE, 0)), np.zeros(0, dtype=np.int64))
+    sampled = len(texts)
+    for code, text in SEEDS.items():
+        for t in segments(text):
+            texts += [t, unaccented(t)]
+            labels += [CODES.index(code)] * 2
     seg, bucket, count = features(texts)
     n, label = len(texts), np.array(labels)
+    seeds = np.arange(n) >= sampled
     idf = np.log((1 + n) / (1 + np.bincount(bucket, minlength=SIZE))) + 1
     w = count * idf[bucket]
     w = w / np.maximum(np.sqrt(np.bincount(seg, weights=w * w, minlength=n)), 1e-9)[seg]
     group = label.copy()
     for _ in range(rounds):
         nearest = _dots(seg, bucket, w, _centroids(seg, bucket, w, group, len(CODES)), n).argmax(axis=1)
-        group = np.where(nearest == label, label, -1)
+        group = np.where((nearest == label) | seeds, label, -1)
     parts, language = [], []
     for k in range(len(CODES)):
-        own = np.flatnonzero(group == k)
+        own = np.flatnonzero((group == k) & ~seeds)
+        parts.append(_centroids(seg, bucket, w, np.where(seeds & (label == k), 0, -1), 1))
+        language.append(k)
         if not len(own):
             continue
         c = min(clusters, len(own))
