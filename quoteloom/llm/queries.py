@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import language, leakage, mapping, topn
-from quoteloom.session import table
+from quoteloom.llm import language, leakage, mapping, mixing, percentiles, topn
+from quoteloom.session import checkpointed, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,35 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.detect(documents, model).drop("doc_lang")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_misses": p3_misses, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p10_languages": p10_languages}
+SHARES = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of premium by brand and channel, over the runs of all loads put together."""
+    runs = percentiles.value_runs(table(spark, d, "quotes"), ["brand", "channel"], "premium")
+    return percentiles.multi_select(runs, ["brand", "channel"], SHARES)
+
+
+def p4_by_load(spark: SparkSession, d: str) -> DataFrame:
+    """Medians by load from runs kept by load; the same runs, put together, give those of p4_percentiles."""
+    runs = percentiles.value_runs(table(spark, d, "quotes"), ["load_id", "channel"], "premium")
+    return percentiles.multi_select(runs, ["load_id", "channel"], [0.5]).drop("percentile")
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = checkpointed(mixing.token_counts(table(spark, d, "documents")))
+    return mixing.mixture(sizes, table(spark, d, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0].orderBy("finish", "doc_id", "copy_no")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.reached_shares(*_mixed(spark, d))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_misses": p3_misses, "p4_percentiles": p4_percentiles, "p4_by_load": p4_by_load, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
 
 SQL: dict[str, str] = {
     "p2_found": """
@@ -61,4 +89,12 @@ SQL: dict[str, str] = {
         ranked AS (
           SELECT risk_id, quote_id, row_number() OVER (PARTITION BY risk_id ORDER BY premium, brand) AS rank_no FROM priced WHERE n = 1)
         SELECT risk_id, CAST(rank_no AS INTEGER) AS rank_no, quote_id FROM ranked WHERE rank_no <= 5""",
+    "p4_percentiles": """
+        SELECT brand, channel, percentile, quantile_cont(premium, 0.1) AS value, count(*) AS n_values FROM quotes, (SELECT 0.1 AS percentile) WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY ALL
+        UNION ALL SELECT brand, channel, percentile, quantile_cont(premium, 0.25), count(*) FROM quotes, (SELECT 0.25 AS percentile) WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY ALL
+        UNION ALL SELECT brand, channel, percentile, quantile_cont(premium, 0.5), count(*) FROM quotes, (SELECT 0.5 AS percentile) WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY ALL
+        UNION ALL SELECT brand, channel, percentile, quantile_cont(premium, 0.75), count(*) FROM quotes, (SELECT 0.75 AS percentile) WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY ALL
+        UNION ALL SELECT brand, channel, percentile, quantile_cont(premium, 0.9), count(*) FROM quotes, (SELECT 0.9 AS percentile) WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY ALL""",
+    "p4_by_load": """
+        SELECT load_id, channel, quantile_cont(premium, 0.5) AS value, count(*) AS n_values FROM quotes WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY load_id, channel""",
 }
