@@ -38,7 +38,7 @@ def _measures(k: int) -> list[Column]:
     pct = lambda x: F.when(best > 0, (x - best) / best * 100)
     return [
         F.col("top")[0]["brand"].alias("cheapest_brand"), best.alias("cheapest_price"), F.col("top")[0]["channel"].alias("cheapest_channel"),
-        _mean(p).alias(f"top{k}_mean"), _median(p).alias(f"top{k}_median"), kth.alias(f"top{k}_kth"), (F.col("n_priced") >= k).alias(f"top{k}_complete"),
+        _mean(p).alias(f"top{k}_mean"), _median(p).alias(f"top{k}_median"), kth.alias(f"top{k}_kth"), F.when(F.col("n_priced") > 0, F.col("n_priced") >= k).alias(f"top{k}_complete"),
         F.array_join(F.transform("top", lambda s: s["brand"]), "|").alias(f"top{k}_brands"),
         (kth - best).alias("spread_abs"), pct(kth).alias("spread_pct"), "panel_median", "panel_max", pct(F.col("panel_max")).alias("panel_spread_pct"),
     ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["market", "training"]
+MODULES = ["market", "vendor", "training"]
 
 
 def queries() -> dict:
