@@ -19,7 +19,7 @@ def _market(spark: SparkSession, d: str, **kw) -> DataFrame:
     return market.observed_market(_quotes(spark, d), k=K, period="month", **kw)
 
 
-def rounded(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
+def rounded(df: DataFrame, *columns: str, places: int = 8) -> DataFrame:
     """Means rounded, whose last bits depend on the order of addition."""
     return df.withColumns({c: F.round(c, places) for c in columns})
 
@@ -78,7 +78,7 @@ def _predictions(spark, d) -> DataFrame:
 
 
 def top_k_table(spark, d):
-    return rounded(market.top_k_table(_predictions(spark, d), k=K), "p_quote", "expected_rank_score", places=6)
+    return rounded(market.top_k_table(_predictions(spark, d), k=K), "p_quote", "expected_rank_score", places=8)
 
 
 def simulate_market(spark, d):
@@ -125,8 +125,8 @@ per AS (
   SELECT {g}, count(*) AS n_risks, avg(n_quoting) AS n_quoting_mean, avg(cheapest_price) AS cheapest_mean, avg(top5_mean) AS top5_mean, median(top5_median) AS top5_median,
          avg(spread_abs) AS spread_abs_mean, median(spread_pct) AS spread_pct_median, median(panel_spread_pct) AS panel_spread_pct_median
   FROM market WHERE cheapest_price IS NOT NULL {basket} GROUP BY {g})
-SELECT * REPLACE (round(n_quoting_mean, 4) AS n_quoting_mean, round(cheapest_mean, 4) AS cheapest_mean, round(top5_mean, 4) AS top5_mean, round(spread_abs_mean, 4) AS spread_abs_mean),
-       round(top5_mean / first_value(top5_mean) OVER ({part}ORDER BY period) * 100, 4) AS index_100, round((top5_mean / lag(top5_mean) OVER ({part}ORDER BY period) - 1) * 100, 4) AS wow_pct
+SELECT * REPLACE (round(n_quoting_mean, 8) AS n_quoting_mean, round(cheapest_mean, 8) AS cheapest_mean, round(top5_mean, 8) AS top5_mean, round(spread_abs_mean, 8) AS spread_abs_mean),
+       round(top5_mean / first_value(top5_mean) OVER ({part}ORDER BY period) * 100, 8) AS index_100, round((top5_mean / lag(top5_mean) OVER ({part}ORDER BY period) - 1) * 100, 8) AS wow_pct
 FROM per"""
 
 
@@ -136,8 +136,8 @@ offers AS (SELECT risk_id, period, brand, min(premium) AS premium, arg_min(chann
 best AS (SELECT o.*, p_quote FROM offers o JOIN rate USING (brand))"""
 
 SQL: dict[str, str] = {
-    "observed_market": f"WITH {_market_sql(False)} SELECT * REPLACE (round(top5_mean, 4) AS top5_mean) FROM market",
-    "observed_market_by_channel": f"WITH {_market_sql(True)} SELECT * REPLACE (round(top5_mean, 4) AS top5_mean) FROM market",
+    "observed_market": f"WITH {_market_sql(False)} SELECT * REPLACE (round(top5_mean, 8) AS top5_mean) FROM market",
+    "observed_market_by_channel": f"WITH {_market_sql(True)} SELECT * REPLACE (round(top5_mean, 8) AS top5_mean) FROM market",
     "market_by_period": _period_sql(False),
     "market_by_period_channel": _period_sql(True),
     "market_index_basket": "SELECT period, n_risks, top5_mean, index_100, wow_pct FROM (" + _period_sql(False, "AND risk_id IN (SELECT risk_id FROM risks WHERE in_basket)") + ")",
@@ -148,22 +148,22 @@ SQL: dict[str, str] = {
       topped AS (SELECT *, avg(CASE WHEN place <= 5 THEN premium END) OVER (PARTITION BY risk_id, period) AS top_mean FROM ranked)
       SELECT brand, count(*) AS n_asked, count(*) FILTER (WHERE quoted) AS n_quoted, count(*) FILTER (WHERE rank = 1) AS n_cheapest, count(*) FILTER (WHERE rank <= 5) AS n_in_top5,
              median(rank) AS median_rank, median(premium) AS median_premium, median(CASE WHEN best <> 0 THEN (premium / best - 1) * 100 END) AS gap_to_cheapest_pct,
-             round(median(CASE WHEN top_mean <> 0 THEN (premium / top_mean - 1) * 100 END), 4) AS gap_to_top5_pct,
-             round(count(*) FILTER (WHERE quoted) / count(*) * 100, 4) AS quote_rate_pct, round(count(*) FILTER (WHERE rank = 1) / count(*) * 100, 4) AS cheapest_share_pct, round(count(*) FILTER (WHERE rank <= 5) / count(*) * 100, 4) AS top5_share_pct
+             round(median(CASE WHEN top_mean <> 0 THEN (premium / top_mean - 1) * 100 END), 8) AS gap_to_top5_pct,
+             round(count(*) FILTER (WHERE quoted) / count(*) * 100, 8) AS quote_rate_pct, round(count(*) FILTER (WHERE rank = 1) / count(*) * 100, 8) AS cheapest_share_pct, round(count(*) FILTER (WHERE rank <= 5) / count(*) * 100, 8) AS top5_share_pct
       FROM topped GROUP BY brand""",
     "channel_gap": f"""WITH {_PREP},
       pair AS (SELECT risk_id, period, brand, min(premium) FILTER (WHERE channel = 'direct') AS direct, min(premium) FILTER (WHERE channel <> 'direct') AS other FROM prep WHERE premium IS NOT NULL GROUP BY ALL)
       SELECT brand, count(*) AS n_pairs, median(direct) AS direct_median, median(other) AS pcw_median, median(CASE WHEN other <> 0 THEN (direct / other - 1) * 100 END) AS direct_over_pcw_pct
       FROM pair WHERE direct IS NOT NULL AND other IS NOT NULL GROUP BY brand""",
     "spread_summary": f"""WITH {_market_sql(False)}
-      SELECT count(*) AS n_risk_periods, count(*) FILTER (WHERE top5_complete) AS n_complete, round(avg(cheapest_price), 4) AS cheapest_mean, median(cheapest_price) AS cheapest_median, round(avg(top5_mean), 4) AS top5_mean,
+      SELECT count(*) AS n_risk_periods, count(*) FILTER (WHERE top5_complete) AS n_complete, round(avg(cheapest_price), 8) AS cheapest_mean, median(cheapest_price) AS cheapest_median, round(avg(top5_mean), 8) AS top5_mean,
              median(spread_abs) AS spread_abs_median, quantile_cont(spread_pct, 0.1) AS spread_pct_p10, quantile_cont(spread_pct, 0.5) AS spread_pct_median, quantile_cont(spread_pct, 0.9) AS spread_pct_p90,
-             median(panel_spread_pct) AS panel_spread_pct_median, round(avg(n_quoting), 4) AS n_quoting_mean FROM market WHERE cheapest_price IS NOT NULL""",
+             median(panel_spread_pct) AS panel_spread_pct_median, round(avg(n_quoting), 8) AS n_quoting_mean FROM market WHERE cheapest_price IS NOT NULL""",
     "common_risks": f"WITH {_PREP} SELECT risk_id FROM prep GROUP BY risk_id HAVING count(DISTINCT period) = (SELECT count(DISTINCT period) FROM prep)",
     "winner_shares": f"WITH {_market_sql(False)} SELECT cheapest_brand, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 8) AS share FROM market WHERE cheapest_brand IS NOT NULL GROUP BY cheapest_brand",
     "top_k_table": f"""WITH {_RATED},
       scored AS (SELECT *, premium / greatest(p_quote, 0.01) AS score FROM best)
-      SELECT risk_id, period, brand, premium, channel, round(p_quote, 6) AS p_quote, round(score, 6) AS expected_rank_score, place FROM (
+      SELECT risk_id, period, brand, premium, channel, round(p_quote, 8) AS p_quote, round(score, 8) AS expected_rank_score, place FROM (
         SELECT *, CAST(row_number() OVER (PARTITION BY risk_id, period ORDER BY score, brand) AS INTEGER) AS place FROM scored) WHERE place <= 5""",
     "simulate_market": f"""WITH {_RATED},
       drawn AS (SELECT risk_id, period, brand, premium, sim, CAST(('0x' || md5_part) AS UBIGINT) / 281474976710656.0 < p_quote AS live FROM (
@@ -173,11 +173,11 @@ SQL: dict[str, str] = {
       panel AS (SELECT risk_id, period, CAST(count(*) AS INTEGER) AS n_on_panel FROM best GROUP BY ALL),
       wins AS (SELECT risk_id, period, winner, count(*) AS n FROM sims GROUP BY ALL),
       modal AS (SELECT risk_id, period, arg_min(winner, (-n, winner)) AS modal_winner, max(n) / 20 * 100 AS modal_winner_share FROM wins GROUP BY ALL)
-      SELECT p.risk_id, p.period, n_on_panel, round(avg(top), 4) AS top5_mean, round(quantile_cont(top, 0.1), 4) AS top5_p10, round(quantile_cont(top, 0.9), 4) AS top5_p90, round(avg(cheapest), 4) AS cheapest_mean,
-             round(coalesce(sum(n), 0) / 20, 4) AS n_quoting_mean, any_value(modal_winner) AS modal_winner, coalesce(any_value(modal_winner_share), 0.0) AS modal_winner_share
+      SELECT p.risk_id, p.period, n_on_panel, round(avg(top), 8) AS top5_mean, round(quantile_cont(top, 0.1), 8) AS top5_p10, round(quantile_cont(top, 0.9), 8) AS top5_p90, round(avg(cheapest), 8) AS cheapest_mean,
+             round(coalesce(sum(n), 0) / 20, 8) AS n_quoting_mean, any_value(modal_winner) AS modal_winner, coalesce(any_value(modal_winner_share), 0.0) AS modal_winner_share
       FROM panel p LEFT JOIN sims USING (risk_id, period) LEFT JOIN modal USING (risk_id, period) GROUP BY p.risk_id, p.period, n_on_panel""",
     "expected_cheapest": f"""WITH {_RATED},
       firsts AS (SELECT *, p_quote * CASE WHEN coalesce(max(p_quote >= 1) OVER w, FALSE) THEN 0 ELSE exp(coalesce(sum(CASE WHEN p_quote < 1 THEN ln(1 - p_quote) END) OVER w, 0)) END AS p_first
         FROM best WINDOW w AS (PARTITION BY risk_id, period ORDER BY premium, brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-      SELECT risk_id, period, round(sum(premium * p_first) / nullif(sum(p_first), 0), 4) AS cheapest_mean, round(sum(p_quote), 4) AS n_quoting_mean FROM firsts GROUP BY ALL""",
+      SELECT risk_id, period, round(sum(premium * p_first) / nullif(sum(p_first), 0), 8) AS cheapest_mean, round(sum(p_quote), 8) AS n_quoting_mean FROM firsts GROUP BY ALL""",
 }

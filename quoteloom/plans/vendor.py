@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quoteloom.functions import scalars as S
 from quoteloom.operators import tables as T
 from quoteloom.session import table
+from quoteloom.streaming.feeds import windowed_levels
 
 # Spellings of a channel.
 CHANNELS = {
@@ -155,7 +156,13 @@ def reachable_brands(spark, d):
     return table(spark, d, "providers").select("brand", F.arrays_overlap(kinds, F.array(F.lit("pcw"))).alias("reachable"), "tier")
 
 
-QUERIES = {f.__name__: f for f in (canonical_quotes, unresolved_brands, unknown_channels, money_texts, flag_texts, date_texts, risk_profile, quote_duplicates, risk_conflicts, first_risks, upsert_quotes, union_by_name, panel_overlap, quote_audit, quote_problems, brand_channel_pivot, channel_unpivot, basket_coverage, note_summary, reachable_brands)}
+def weekly_levels(spark, d):
+    """Price levels by brand and Monday week of ingestion: the batch form of the streaming windows."""
+    out = windowed_levels(table(spark, d, "quotes").where("brand is not null"))
+    return out.withColumn("log_sum", F.round("log_sum", 6))
+
+
+QUERIES = {f.__name__: f for f in (canonical_quotes, unresolved_brands, unknown_channels, money_texts, flag_texts, date_texts, risk_profile, quote_duplicates, risk_conflicts, first_risks, upsert_quotes, union_by_name, panel_overlap, quote_audit, quote_problems, brand_channel_pivot, channel_unpivot, basket_coverage, note_summary, reachable_brands, weekly_levels)}
 
 
 def _key_sql(c: str) -> str:
@@ -221,5 +228,6 @@ SQL: dict[str, str] = {
       SELECT risk_id, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_declined, 0) AS n_declined, coalesce(missing, '') AS missing_channels, CASE WHEN n_quoted IS NULL THEN 'missing' WHEN missing IS NULL THEN 'complete' ELSE 'partial' END AS status
       FROM b LEFT JOIN n USING (risk_id) LEFT JOIN m USING (risk_id)""",
     "note_summary": """SELECT regexp_replace(regexp_replace(message, '''[^'']*''', '''...''', 'g'), '\\d+', '#', 'g') AS problem, count(*) AS n FROM (SELECT incentive_note AS message FROM quotes UNION ALL SELECT collector_note FROM quotes) WHERE message IS NOT NULL GROUP BY 1""",
+    "weekly_levels": "SELECT CAST(date_trunc('week', ingested_at) AS DATE) AS window_start, brand, count(*) AS n, round(sum(ln(premium)), 6) AS log_sum FROM quotes WHERE brand IS NOT NULL AND quoted AND premium > 0 AND NOT isnan(premium) GROUP BY ALL",
     "reachable_brands": "SELECT brand, list_contains(string_split(channel_list, '|'), 'pcw') AS reachable, tier FROM providers",
 }
