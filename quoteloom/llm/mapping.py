@@ -33,10 +33,10 @@ KEYS = {c: (x, y) for y, row in enumerate(["qwertyuiop", "asdfghjkl", "zxcvbnm"]
 
 
 def fold(text: str) -> str:
-    """Lower case without accents, punctuation as blanks, blanks collapsed."""
+    """Lower case without accents, punctuation (and "and", for which "&" stands) as blanks, blanks collapsed."""
     t = unicodedata.normalize("NFKD", text.casefold())
     t = "".join(c for c in t if not unicodedata.combining(c))
-    return re.sub(r"\s+", " ", re.sub(r"[^\w@$!]+|_", " ", t)).strip()
+    return re.sub(r"\s+", " ", re.sub(r"[^\w@$!]+|_|\band\b", " ", t)).strip()
 
 
 def unlook(text: str) -> str:
@@ -116,6 +116,7 @@ class Dictionary:
             for d in deletes(sound(base.replace(" ", "")), 1):
                 self.index.setdefault("~" + d, set()).add((name, "~" + sound(base.replace(" ", ""))))
             self.skeletons.setdefault(skeleton(base), set()).add(name)
+        self.longest = max(map(len, self.exact), default=0)
 
     def rank(self, found: dict[str, float]) -> tuple[str, float] | None:
         """The nearest name; of equals the more frequent, then the first by code point."""
@@ -126,6 +127,8 @@ class Dictionary:
 
     def near(self, text: str, bound: float) -> tuple[str, float] | None:
         found: dict[str, float] = {}
+        if len(text) > self.longest + self.most:
+            return None  # farther from every form than the edits allowed
         for name, form in {c for d in deletes(text, self.most) for c in self.index.get(d, ())}:
             w = weighted_distance(text, form, bound)
             if w <= bound:

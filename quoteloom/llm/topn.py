@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def top_n(items: DataFrame, group: list[str], order: list[Column], salt_on: list[str], n: int, *, subgroups: int = 16, rank: str = "rank_no") -> DataFrame:
-    """``items`` of rank 1 to ``n`` in their group, with the rank added as int column ``rank``.
+    """``items`` of rank 1 to ``n`` in their group, with the rank added as int column ``rank``, in place of one so named.
 
     Each group is hashed into ``subgroups`` by ``salt_on``; every subgroup keeps its n best, and the at most
     n * subgroups survivors of a group are ranked again. No task holds a whole hot group. ``order`` must end in
@@ -15,10 +15,11 @@ def top_n(items: DataFrame, group: list[str], order: list[Column], salt_on: list
     interchangeable. Null group keys form one group. Groups with fewer than n items give all of them.
     """
     salt = F.pmod(F.xxhash64(*salt_on), F.lit(subgroups))
-    names = items.columns
-    inner = Window.partitionBy(*group, "_salt").orderBy(*order)
+    names = [c for c in items.columns if c != rank]
+    free = "_" * (1 + max(len(c) for c in names))  # no column is named so
+    inner = Window.partitionBy(*group, f"{free}s").orderBy(*order)
     outer = Window.partitionBy(*group).orderBy(*order)
-    survivors = items.withColumn("_salt", salt).withColumn("_rank", F.row_number().over(inner)).where(F.col("_rank") <= n).drop("_salt", "_rank")
+    survivors = items.withColumn(f"{free}s", salt).withColumn(f"{free}r", F.row_number().over(inner)).where(F.col(f"{free}r") <= n).drop(f"{free}s", f"{free}r")
     return survivors.withColumn(rank, F.row_number().over(outer)).where(F.col(rank) <= n).select(*names, rank)
 
 
