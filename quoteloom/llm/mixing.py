@@ -8,6 +8,7 @@ Running sums are taken in two steps, over hash ranges and within them, so that n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,8 +21,8 @@ from quoteloom.session import checkpointed
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte-level BPE of this kind first cuts a text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Hash ranges within which running sums are taken.
-RANGES = 256
+#: Documents that one task sums up in order; the hash ranges are as many as that takes, 256 at least.
+RANGE_DOCUMENTS = 200_000
 
 
 def token_counts(documents: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -69,9 +70,10 @@ def mixture(sizes: DataFrame, targets: DataFrame, *, total_tokens: int | None =
     by doc_id and copy. Repeated rows are documents of their own. Empty tables give an empty mixture.
     """
     w = checkpointed(weights(sizes, targets, total_tokens))
+    bits = max(8, math.ceil(math.log2(1 + sizes.count() / RANGE_DOCUMENTS)))
     plan = F.broadcast(w.where("weight is not null").select("source", "weight", "passes", "budget"))  # a row a target
     copies = sizes.where("tokens > 0").select("doc_id", "source", "tokens").join(plan, "source").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("passes"))))
-    hashed = copies.withColumn("h", F.xxhash64("doc_id", "copy_no", F.lit(seed))).withColumn("range_no", F.shiftrightunsigned(F.col("h"), 64 - (RANGES - 1).bit_length()))
+    hashed = copies.withColumn("h", F.xxhash64("doc_id", "copy_no", F.lit(seed))).withColumn("range_no", F.shiftrightunsigned(F.col("h"), 64 - bits))
     place = ["source", "copy_no", "range_no"]
     sums = hashed.groupBy(*place).agg(F.sum("tokens").alias("in_range"))
     before = sums.withColumn("before", F.sum("in_range").over(Window.partitionBy("source").orderBy("copy_no", "range_no").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_range")).drop("in_range")
