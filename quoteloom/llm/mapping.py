@@ -172,7 +172,7 @@ def brand_mapper(names: list[str], aliases: dict[tuple[str, str], str], frequenc
         bare = tidy(added.sub(" ", re.sub(r"(?<!\w)\d+(?!\w)(?! star)", " ", whole)))
         core = tidy(tiers.sub(" ", bare))
         once = tidy(added.sub(" ", re.sub(r"\b(?:home|house) insurance\b", " ", whole)))
-        forms = [t for t in dict.fromkeys((whole, bare, core, once, tidy(home.sub(" ", bare)), tidy(home.sub(" ", core)))) if t]
+        forms = [t for t in dict.fromkeys((whole, bare, core, once, tidy(re.sub(r" home$", "", bare)), tidy(re.sub(r" home$", "", core)), tidy(home.sub(" ", bare)), tidy(home.sub(" ", core)))) if t]
         for t in forms:
             if t in own:
                 return own[t]

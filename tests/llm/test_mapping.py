@@ -11,7 +11,7 @@ TYPES = {"detached": "detached", "detached house": "detached", "semi": "semi_det
     ("s", "KEYSTEAD", "Keystead"), ("s", "Keystaed", "Keystead"), ("s", "K3ystead Insurance Ltd", "Keystead"), ("s", "Kystd", "Keystead"), ("s", "Vane, Orchard", "Orchard & Vane"), ("s", "orchard and vane", "Orchard & Vane"),
     ("s", "Candlew", "Candlewick"), ("s", "Càndlewick", "Candlewick"), ("s", "HM", "Candlewick"), ("t", "hm", "Keystead"), ("u", "HM", m.UNMATCHED), ("s", "Core Insurance", "Northvale"), ("t", "Core", m.UNMATCHED),
     ("s", "Northgate Motor", m.UNMATCHED), ("s", "Silverton Savings", m.UNMATCHED), ("s", "", m.UNMATCHED), ("s", "  ", m.UNMATCHED), ("s", "n/a", m.UNMATCHED), ("s", "Harbour", m.UNMATCHED), ("s", "quote from Kestrel Home", "Kestrel Home"),
-    ("s", "Kestrel Home Home Insurance", "Kestrel Home"), ("s", "Silvaforn", "Silverthorn"), ("s", "0800 Candlewick (ref 7)", "Candlewick"), ("s", "x" * 5000, m.UNMATCHED),
+    ("s", "Kestrel Home Home Insurance", "Kestrel Home"), ("s", "Kestlre Home - home", "Kestrel Home"), ("s", "Silvaforn", "Silverthorn"), ("s", "0800 Candlewick (ref 7)", "Candlewick"), ("s", "x" * 5000, m.UNMATCHED),
 ])
 def test_brands(spec, text, want):
     assert m.brand_mapper(NAMES, ALIASES, {})(spec, text) == want
