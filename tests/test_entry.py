@@ -24,8 +24,12 @@ def test_core_stands_alone():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+#: One query or two of each kind; the rest are compared by the driver's gate, which runs them all.
+COMPARED = ["observed_market", "channel_gap", "canonical_quotes", "upsert_quotes", "quote_audit", "basket_coverage", "sector_values", "top_k_metrics", "level_trend", "p6_found"]
+
+
 def test_queries_match_their_sql(spark, small):
-    """Row counts of every core query with SQL, over the smallest tables."""
+    """Row counts and columns against the SQL, over the smallest tables."""
     import duckdb
 
     from quoteloom import plans
@@ -34,7 +38,8 @@ def test_queries_match_their_sql(spark, small):
     for p in Path(small).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
     q = plans.queries()
-    for name, sql in plans.sql().items():
+    for name in COMPARED:
+        sql = plans.sql()[name]
         want = con.execute(sql).fetchdf()
         got = q[name](spark, small)
         assert sorted(got.columns) == sorted(want.columns), name
