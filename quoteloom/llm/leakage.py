@@ -162,21 +162,24 @@ def stretches(item: list[str], weights: list[float], own: list[bool], doc: list[
     return out
 
 
-def best_two(found: list[tuple[float, int, int, int, int]], least: float) -> tuple[float, list[tuple[int, int]]]:
-    """The greatest weight of one stretch, or of two in the item's order, and their document spans."""
-    found = sorted((s for s in found if s[0] >= least), reverse=True)[:40]
-    if not found:
-        return 0.0, []
-    best, spans = found[0][0], [found[0][3:]]
-    for a in range(len(found)):
-        for b in range(a + 1, len(found)):
-            x, y = sorted((found[a], found[b]), key=lambda s: s[1])
-            shared = max(0, x[2] - y[1])
-            if shared <= 3 and x[4] <= y[3] + 3:
-                w = x[0] + y[0] - shared
-                if w > best:
-                    best, spans = w, [x[3:], y[3:]]
-    return best, spans
+def best_two(found: list[tuple[float, int, int, int, int]], length: int) -> float:
+    """The greatest weight of one stretch, or of two that stand in the item's order in the document too.
+
+    ``found``: stretches of an item of ``length`` words. Two may share three words of either, which count once.
+    A sweep over the document: ``upto[h]`` is the heaviest stretch so far that ends at the item's word h or before.
+    """
+    best = max((s[0] for s in found), default=0.0)
+    ended = sorted(found, key=lambda s: s[4])
+    upto, k = [0.0] * (length + 1), 0
+    for w, low, _, start, _ in sorted(found, key=lambda s: s[3]):
+        while k < len(ended) and ended[k][4] <= start + 3:
+            x, high = ended[k][0], ended[k][2]
+            while high <= length and upto[high] < x:
+                upto[high] = x
+                high += 1
+            k += 1
+        best = max(best, max(w + upto[h] - (h - low) for h in range(low, min(low + 3, length) + 1) if upto[h]) if upto[min(low + 3, length)] else 0.0)
+    return best
 
 
 class Items:
@@ -210,7 +213,7 @@ class Items:
         self.suspect = dict(self.suspect)
 
     def scan(self, text: str, share: float) -> list[tuple[int, float, list[tuple[int, int]]]]:
-        """(item, share of its words, character spans) of the items that the text repeats."""
+        """(item, share of its words, character spans of all its stretches) of the items that the text repeats."""
         doc, at = tokens(text)
         if len(doc) < self.n:
             return []
@@ -228,9 +231,10 @@ class Items:
             hits = [(i, j) for j, g in enumerate(windows) if g in places for i in places[g]]
             if len({i + k for i, _ in hits for k in range(self.n)}) < 0.5 * share * total:
                 continue
-            w, spans = best_two(stretches(self.words[item_id], self.weights[item_id], self.own[item_id], doc, hits, self.n), 0.04 * total)
+            found = stretches(self.words[item_id], self.weights[item_id], self.own[item_id], doc, hits, self.n)
+            w = best_two(found, len(self.words[item_id]))
             if w >= share * total - 1e-9:
-                out.append((item_id, w / total, [(at[a][0], at[min(b, len(at)) - 1][1]) for a, b in spans]))
+                out.append((item_id, w / total, [(at[a][0], at[min(b, len(at)) - 1][1]) for *_, a, b in found]))
         return out
 
 
@@ -264,7 +268,7 @@ def without_leaks(documents: DataFrame, leaks: DataFrame, *, remove: str = "span
     """
     if remove == "documents":
         return documents.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
-    spans = leaks.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"))  # at most two an item
+    spans = leaks.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"))  # a document's stretches
     both = documents.join(spans, F.col("doc_id") == F.col("_doc"), "left")
     cut = F.aggregate(
         "_spans",

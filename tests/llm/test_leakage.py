@@ -63,3 +63,31 @@ def test_tables_and_removal(spark):
     assert clean[1].text == FILLER and clean[4].text.strip() == "" and clean[2].text is None and clean[5].text == FILLER * 200 and clean[1].item_id == 9
     assert {r.doc_id for r in k.without_leaks(d, leaks, remove="documents").collect()} == {2, 3, 5}
     assert k.find_leaks(d.limit(0), i).count() == 0 and k.find_leaks(d, i.limit(0)).count() == 0
+
+
+def test_pair_far_down_and_slight():
+    """The second stretch counts, however many heavier ones there are and however short it is."""
+    first, last = part(6, 0, 15), part(6, 48, 60)
+    assert found(" ".join([(first + " " + FILLER) * 45, last])) == {6: 27 / 60}
+    items = [(j, item(j, 100)) for j in range(6)]
+    words = items[2][1].split()
+    text = " ".join(words[:37]) + FILLER + " ".join(words[90:93])
+    assert [(i, round(s, 2)) for i, s, _ in k.Items(items).scan(text, 0.4)] == [(2, 0.4)]
+
+
+def test_best_two_is_that_of_all_pairs():
+    rng = random.Random(5)
+    for _ in range(300):
+        made = []
+        for _ in range(rng.randint(0, 30)):
+            low, start, n = rng.randint(0, 50), rng.randint(0, 300), rng.randint(3, 20)
+            made.append((n * rng.uniform(0.5, 1), low, min(low + n, 60), start, start + n))
+        pairs = [x[0] + y[0] - max(0, x[2] - y[1]) for x in made for y in made if x is not y and x[2] - y[1] <= 3 and x[4] <= y[3] + 3]
+        assert abs(k.best_two(made, 60) - max([0.0, *(s[0] for s in made), *pairs])) < 1e-9
+
+
+def test_every_copy_is_removed(spark):
+    copies = [FILLER, ITEMS[8][1], FILLER, ITEMS[8][1], FILLER, part(8, 20, 50), FILLER, ITEMS[8][1], FILLER]
+    d = spark.createDataFrame([(1, " ".join(copies))], "doc_id long, text string")
+    clean = k.without_leaks(d, k.find_leaks(d, spark.createDataFrame(ITEMS, "item_id long, item_text string"))).first().text
+    assert not set(clean.split()) & set(ITEMS[8][1].split()) and clean.split() == (FILLER * 5).split()
