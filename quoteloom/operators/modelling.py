@@ -78,37 +78,106 @@ def recalibrated_levels(levels: DataFrame, fresh: DataFrame) -> DataFrame:
     return levels.join(new.select("brand", "channel"), ["brand", "channel"], "left_anti").unionByName(new)
 
 
+def category_levels(train: DataFrame, categories: list[str]) -> dict[str, list[str]]:
+    """The values of closed domains that ``train`` holds, by name."""
+    if not categories:
+        return {}
+    row = train.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in categories]).first()
+    return {c: row[c] for c in categories}
+
+
+def encoded(features: list[str], levels: dict[str, list[str]]) -> list[Column]:
+    """The design, alike for fitting and predicting: numbers (0 where missing), whether each is missing, a 0/1 column a level."""
+    x = [nan_to_null(F.col(f"`{f}`").cast("double")) for f in features]
+    hot = [F.coalesce((F.col(f"`{c}`").cast("string") == v).cast("double"), F.lit(0.0)) for c, vs in levels.items() for v in vs]
+    return [*[F.coalesce(c, F.lit(0.0)) for c in x], *[c.isNull().cast("double") for c in x], *hot]
+
+
+def moments(rows: DataFrame, columns: list[Column], target: str, key: Column) -> dict[str, np.ndarray]:
+    """By key: sums of products of (1, columns, target) over all rows with a target. Keys and columns are few, so the sums go to the driver."""
+    y = nan_to_null(F.col(f"`{target}`").cast("double"))
+    sent = rows.where(y.isNotNull()).select(key.alias("key"), F.array(F.lit(1.0), *columns, y).alias("x"))
+
+    def products(batches):
+        import pyarrow as pa
+
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[order]
+            ends = np.searchsorted(at[order], np.arange(len(coded.dictionary) + 1))
+            for k, name in enumerate(coded.dictionary.to_pylist()):
+                part = x[ends[k] : ends[k + 1]]
+                sums[name] = sums.get(name, 0.0) + part.T @ part
+        yield pa.RecordBatch.from_pydict({"key": pa.array(sums.keys(), pa.string()), "m": pa.array([m.ravel() for m in sums.values()], pa.list_(pa.float64()))})
+
+    def added(pdf):
+        return pdf.iloc[:1].assign(m=[np.sum(np.stack(pdf["m"].to_list()), axis=0)])
+
+    schema = "key string, m array<double>"
+    size = len(columns) + 2
+    return {r.key: np.array(r.m).reshape(size, size) for r in sent.mapInArrow(products, schema).groupBy("key").applyInPandas(added, schema).collect()}
+
+
 class Ridge:
-    """Closed-form ridge on z-scores, intercept unpenalised: one aggregate of sums and products, one small solve on the driver."""
+    """Closed-form ridge on z-scores, intercept unpenalised: one pass for sums of products, one small solve on the driver.
+
+    ``categories`` are one-hot, and so is ``group``, by whose values the sums are kept. A missing number is 0 with an
+    indicator; one that was never missing in training stands at its mean. Unseen levels and nulls are zero everywhere.
+    """
 
-    def __init__(self, features: list[str], alpha: float = 1.0):
-        self.features, self.alpha = features, alpha
+    def __init__(self, features: list[str], alpha: float = 1.0, categories: list[str] | None = None, group: str | None = None):
+        self.features, self.alpha, self.categories, self.group = features, alpha, categories or [], group
 
     def fit(self, train: DataFrame, target: str = "log_premium") -> Ridge:
-        cols = [*self.features, target]
-        c = [F.col(f"`{x}`").cast("double") for x in cols]
-        whole = train.dropna(subset=cols)
-        pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-        row = whole.agg(F.count("*"), *[F.sum(x) for x in c], *[F.sum(c[i] * c[j]) for i, j in pairs]).first()
-        n, p = row[0], len(self.features)
-        sums, cross = np.array(row[1 : len(cols) + 1], float), np.zeros((len(cols), len(cols)))
-        for (i, j), v in zip(pairs, row[len(cols) + 1 :]):
-            cross[i, j] = cross[j, i] = v
-        mean = sums / n
-        cov = cross / n - np.outer(mean, mean)
+        self.levels = category_levels(train, self.categories)
+        key = F.coalesce(F.col(self.group).cast("string"), F.lit("")) if self.group else F.lit("")
+        return self.solve(moments(train, encoded(self.features, self.levels), target, key))
+
+    def solve(self, by_group: dict[str, np.ndarray]) -> Ridge:
+        if not by_group:
+            raise ValueError("no rows to fit on")
+        self.by_group = by_group
+        names = sorted(g for g in by_group if g) if self.group else []
+        total = sum(by_group.values())
+        size, k = len(total), len(names)
+        at = [*range(size - 1), size + k - 1]
+        m = np.zeros((size + k, size + k))
+        m[np.ix_(at, at)] = total
+        for j, g in enumerate(names, size - 1):
+            m[j, at] = m[at, j] = by_group[g][0]
+            m[j, j] = by_group[g][0, 0]
+        self.intercept, b = self.weights(m)
+        f = len(self.features)
+        self.coefficients, self.all_coefficients, self.of_group = b[:f], b[: size - 2], dict(zip(names, b[size - 2 :].tolist()))
+        return self
+
+    def weights(self, m: np.ndarray) -> tuple[float, np.ndarray]:
+        """(intercept, coefficient of each column) from sums of products of (1, columns, target)."""
+        n, p, f = m[0, 0], len(m) - 2, len(self.features)
+        mean = m[0, 1:] / n
+        cov = m[1:, 1:] / n - np.outer(mean, mean)
         sd = np.sqrt(np.maximum(np.diag(cov)[:p], 0))
         sd = np.where(sd < 1e-12, 1.0, sd)
-        gram = n * cov[:p, :p] / np.outer(sd, sd)
-        beta = np.linalg.solve(gram + self.alpha * np.eye(p), n * cov[:p, p] / sd)
-        self.coefficients = beta / sd
-        self.intercept = mean[p] - float(self.coefficients @ mean[:p])
-        return self
+        b = np.linalg.solve(n * cov[:p, :p] / np.outer(sd, sd) + self.alpha * np.eye(p), n * cov[:p, p] / sd) / sd
+        intercept = float(mean[p] - b @ mean[:p])
+        b[f : 2 * f] = np.where(mean[f : 2 * f] > 0, b[f : 2 * f], b[:f] * mean[:f])
+        return intercept, b
 
-    def predict(self, rows: DataFrame) -> DataFrame:
+    def prediction(self) -> Column:
         y = F.lit(float(self.intercept))
-        for f, b in zip(self.features, self.coefficients):
-            y = y + F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) * F.lit(float(b))
-        return rows.withColumn("y_pred", y)
+        for c, b in zip(encoded(self.features, self.levels), self.all_coefficients):
+            y = y + c * F.lit(float(b))
+        if self.of_group:
+            y = y + F.coalesce(F.create_map(*[F.lit(x) for g in self.of_group.items() for x in g])[F.col(self.group).cast("string")], F.lit(0.0))
+        return y
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("y_pred", self.prediction())
 
 
 def quote_rates(quotes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -224,16 +293,28 @@ def forward_delta(trends: DataFrame, rows: DataFrame, as_of: int, *, cap: int =
     return rows.join(own, "brand", "left").crossJoin(F.broadcast(market)).withColumn("delta", F.coalesce("own_", "market_") * ahead).drop("own_", "market_")
 
 
-def out_of_fold(matrix: DataFrame, features: list[str], *, folds: int = 3, seed: int = 0, alpha: float = 1.0) -> DataFrame:
-    """``matrix`` with resid: each fold of risks predicted by a ridge, without week, that was fitted on the others."""
+def out_of_fold(matrix: DataFrame, features: list[str], *, categories: list[str] | None = None, group: str | None = None, folds: int = 3, seed: int = 0, alpha: float = 1.0) -> DataFrame:
+    """``matrix`` with resid: each fold of risks predicted by a ridge, without week, that was fitted on the others.
+
+    The sums of products are kept by fold, so all the fits take one pass.
+    """
     m = matrix.withColumn("fold_", F.floor(hash_uniform(F.lit(seed), F.col("risk_id")) * folds).cast("int"))
-    parts = []
+    model = lambda: Ridge([f for f in features if f != "week"], alpha, categories, group)
+    levels = category_levels(m, categories or [])
+    own = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
+    parts = moments(m, encoded(model().features, levels), "log_premium", F.concat_ws("|", F.col("fold_").cast("string"), own))
+    y = F.lit(None).cast("double")
     for k in range(folds):
-        model = Ridge([f for f in features if f != "week"], alpha).fit(m.where(F.col("fold_") != k))
-        parts.append(model.predict(m.where(F.col("fold_") == k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        others: dict[str, np.ndarray] = {}
+        for key, x in parts.items():
+            fold, g = key.split("|", 1)
+            if int(fold) != k:
+                others[g] = others.get(g, 0.0) + x
+        if any(key.startswith(f"{k}|") for key in parts):
+            one = model()
+            one.levels = levels
+            y = F.when(F.col("fold_") == k, one.solve(others).prediction()).otherwise(y)
+    out = m.withColumn("y_pred", y)
     return out.withColumn("resid", F.col("log_premium") - F.col("y_pred")).drop("fold_")
 
 
@@ -282,12 +363,14 @@ def _last(train, rows):
     return last_level_model(train, rows)
 
 
-RIDGE_FEATURES = ["log_sum_insured", "log_excess", "property_age", "bedrooms", "claims_last_5y", "week"]
+#: The reference's features but for those of places (flood, crime, subsidence, area value), which need data of their own.
+RIDGE_FEATURES = ["log_sum_insured", "voluntary_excess", "log_excess", "property_age", "bedrooms", "claims_last_5y", "flood_history", "subsidence_history", "week"]
+RIDGE_CATEGORIES = ["policy_type", "building_type", "construction", "occupancy", "channel"]
 
 
 @register("ridge_log")
 def _ridge(train, rows):
-    return Ridge(RIDGE_FEATURES).fit(train).predict(rows)
+    return Ridge(RIDGE_FEATURES, categories=RIDGE_CATEGORIES, group="brand").fit(train).predict(rows)
 
 
 def _trees(train, rows, regressor):
@@ -314,36 +397,14 @@ def _forest(train, rows):
 
 @register("ridge_per_brand")
 def _per_brand(train, rows, *, min_rows: int = 300, alpha: float = 1.0):
-    """A ridge a brand where it has ``min_rows``, else the pooled one. Each fit is a group of sums, solved on the workers."""
-    import pandas as pd
-
-    f = RIDGE_FEATURES
-    c = [F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in [*f, "log_premium"]]
-    pairs = [(i, j) for i in range(len(c)) for j in range(i, len(c))]
-    moments = train.groupBy("brand").agg(F.count("*").alias("n"), F.array(*[F.sum(x) for x in c]).alias("s"), F.array(*[F.sum(c[i] * c[j]) for i, j in pairs]).alias("q"))
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                p, n = len(f), r.n
-                cross = np.zeros((p + 1, p + 1))
-                for (i, j), v in zip(pairs, r.q):
-                    cross[i, j] = cross[j, i] = v
-                mean = np.array(r.s) / n
-                cov = cross / n - np.outer(mean, mean)
-                sd = np.sqrt(np.maximum(np.diag(cov)[:p], 0))
-                sd = np.where(sd < 1e-9, 1.0, sd)
-                b = np.linalg.solve(n * cov[:p, :p] / np.outer(sd, sd) + alpha * np.eye(p), n * cov[:p, p] / sd) / sd
-                out.append((r.brand, float(mean[p] - b @ mean[:p]), b.tolist()))
-            yield pd.DataFrame(out, columns=["brand", "b0_", "b_"])
-
-    fits = moments.where(F.col("n") >= min_rows).mapInPandas(solve, "brand string, b0_ double, b_ array<double>")
-    pooled = Ridge(f, alpha).fit(train).predict(rows)
+    """A ridge a brand where it has ``min_rows``, else the pooled one. All are solved from the pooled fit's sums by brand."""
+    pooled = Ridge(RIDGE_FEATURES, alpha, RIDGE_CATEGORIES, "brand").fit(train)
+    own = [(g, *pooled.weights(m)) for g, m in pooled.by_group.items() if g and m[0, 0] >= min_rows]
+    fits = rows.sparkSession.createDataFrame([(g, b0, b.tolist()) for g, b0, b in own], "brand string, b0_ double, b_ array<double>")
     y = F.col("b0_")
-    for k, x in enumerate(c[:-1]):
+    for k, x in enumerate(encoded(pooled.features, pooled.levels)):
         y = y + x * F.col("b_")[k]
-    return pooled.join(fits, "brand", "left").withColumn("y_pred", F.coalesce(y, F.col("y_pred"))).drop("b0_", "b_")
+    return pooled.predict(rows).join(F.broadcast(fits), "brand", "left").withColumn("y_pred", F.coalesce(y, F.col("y_pred"))).drop("b0_", "b_")  # a row a brand
 
 
 for _name, _lib in (("ebm_pooled", "interpret"), ("ebm_per_brand", "interpret"), ("gbm_pooled", "lightgbm"), ("gbm_per_brand", "lightgbm"), ("catboost_pooled", "catboost")):

@@ -13,7 +13,7 @@ from quoteloom.plans.market import rounded
 from quoteloom.session import checkpointed, table
 
 HOLD = 8
-RISK = ["risk_id", "load_id", "risk_row_id", "postcode", "building_type", "occupancy", "construction", "year_built", "bedrooms", "buildings_sum_insured", "contents_sum_insured", "voluntary_excess", "claims_last_5y"]
+RISK = ["risk_id", "load_id", "risk_row_id", "postcode", "policy_type", "building_type", "occupancy", "construction", "year_built", "bedrooms", "buildings_sum_insured", "contents_sum_insured", "voluntary_excess", "claims_last_5y", "flood_history", "subsidence_history"]
 
 
 def postcode_fields(spark, d):
@@ -157,7 +157,7 @@ def ridge_metrics(spark, d):
 def drift_residuals(spark, d):
     """Out-of-fold residuals as levels by brand and week."""
     m = _matrix(spark, d)
-    resid = M.out_of_fold(m, M.RIDGE_FEATURES).select("brand", "week", "resid", F.lit(1.0).alias("weight"))
+    resid = M.out_of_fold(m, M.RIDGE_FEATURES, categories=M.RIDGE_CATEGORIES, group="brand").select("brand", "week", "resid", F.lit(1.0).alias("weight"))
     return M.trend(M.brand_levels(resid))
 
 

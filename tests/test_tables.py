@@ -80,6 +80,52 @@ def test_geo(spark):
         geo.check_ready(once)
 
 
+def rated(seed=3, n=900):
+    """Rows whose price hangs on brand and on whether the excess is known; a third have none."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        a, e, brand, kind = rng.gauss(0, 1), None if rng.random() < 0.33 else rng.uniform(0, 500), rng.choice("ABC"), rng.choice(["flat", "terraced", None])
+        y = 5 + 0.3 * a + (0.4 if e is None else -0.001 * e) + {"A": 0.0, "B": 0.5, "C": -0.7}[brand] + {"flat": 0.2, "terraced": -0.1, None: 0.0}[kind]
+        rows.append((f"R{len(rows)}", a, e, brand, kind, y))
+    return rows
+
+
+RATED = "risk_id string, a double, e double, brand string, kind string, log_premium double"
+
+
+def test_ridge_with_categories_and_missing_values(spark):
+    rows = rated()
+    df = spark.createDataFrame(rows, RATED)
+    got = {r.risk_id: r.y_pred for r in modelling.Ridge(["a", "e"], categories=["kind"], group="brand").fit(df).predict(df).collect()}
+    x = np.array([[a, e or 0.0, a is None, e is None, k == "flat", k == "terraced", b == "A", b == "B", b == "C"] for _, a, e, b, k, _ in rows], float)
+    y = np.array([r[-1] for r in rows])
+    sd = np.where(x.std(0) < 1e-12, 1, x.std(0))
+    z = (x - x.mean(0)) / sd
+    want = y.mean() + z @ np.linalg.solve(z.T @ z + np.eye(9), z.T @ (y - y.mean()))
+    assert len(got) == len(rows) and np.allclose([got[r[0]] for r in rows], want)
+    assert max(abs(got[r[0]] - r[-1]) for r in rows) < 0.02
+    new = spark.createDataFrame([("X", None, 100.0, "A", "flat", None)], RATED)  # a was never missing: it stands at its mean
+    at_mean = spark.createDataFrame([("X", float(np.mean([r[1] for r in rows])), 100.0, "A", "flat", None)], RATED)
+    model = modelling.Ridge(["a", "e"], categories=["kind"], group="brand").fit(df)
+    assert math.isclose(model.predict(new).first().y_pred, model.predict(at_mean).first().y_pred)
+    folded = modelling.out_of_fold(df, ["a", "e"], categories=["kind"], group="brand").collect()
+    assert len(folded) == len(rows) and max(abs(r.resid) for r in folded) < 0.05
+
+
+def test_ridge_per_brand_has_slopes_of_its_own(spark):
+    rng = random.Random(9)
+    rows = []
+    for j in range(1500):
+        brand, age, excess = "AB"[j % 2] if j < 1400 else "thin", rng.randint(0, 90), rng.choice([None, 100.0, 250.0])
+        y = 5 + (0.01 if brand == "A" else -0.01) * age + (0.3 if excess is None else 0.0)
+        rows.append((f"R{j}", brand, "d", j % 6, "combined", "flat", "standard", rng.choice(["let", "second_home"]), 0.0, excess, math.log1p(excess / 250) if excess else None, age, 3, 0, False, False, y))
+    m = spark.createDataFrame(rows, "risk_id string, brand string, channel string, week int, policy_type string, building_type string, construction string, occupancy string, log_sum_insured double, voluntary_excess double, log_excess double, property_age int, bedrooms int, claims_last_5y int, flood_history boolean, subsidence_history boolean, log_premium double")
+    scored, why = modelling.compare(m, ["ridge_log", "ridge_per_brand"], holdout_weeks=1)
+    got = [r for r in scored.collect() if r.approach == "ridge_per_brand"]
+    assert not why and len(got) == 250 and max(abs(r.y_pred - r.y_true) for r in got if r.brand != "thin") < 0.02
+
+
 def test_ridge_against_numpy(spark):
     rng = random.Random(4)
     rows = [(rng.gauss(0, 2), rng.gauss(5, 1), 1.0) for _ in range(200)]
