@@ -86,11 +86,17 @@ def simulate_market(spark, d):
     return rounded(out, "top5_mean", "top5_p10", "top5_p90", "cheapest_mean", "n_quoting_mean")
 
 
+def simulate_market_400(spark, d):
+    """The simulation with the operator's own 400 draws; ``simulate_market`` has the 20 that its SQL can follow on whole tables."""
+    out = market.simulate_market(_predictions(spark, d), k=K)
+    return rounded(out, "top5_mean", "top5_p10", "top5_p90", "cheapest_mean", "n_quoting_mean")
+
+
 def expected_cheapest(spark, d):
     return rounded(market.expected_cheapest(_predictions(spark, d)), "cheapest_mean", "n_quoting_mean")
 
 
-QUERIES = {f.__name__: f for f in (observed_market, observed_market_by_channel, market_by_period, market_by_period_channel, market_index_basket, brand_competitiveness, channel_gap, spread_summary, common_risks, winner_shares, top_k_table, simulate_market, expected_cheapest)}
+QUERIES = {f.__name__: f for f in (observed_market, observed_market_by_channel, market_by_period, market_by_period_channel, market_index_basket, brand_competitiveness, channel_gap, spread_summary, common_risks, winner_shares, top_k_table, simulate_market, simulate_market_400, expected_cheapest)}
 
 _PREP = """prep AS (
   SELECT risk_id, brand, coalesce(channel, 'unknown') AS channel, CAST(date_trunc('month', collected_on) AS DATE) AS period, coalesce(quoted, FALSE) AS quoted,

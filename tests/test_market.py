@@ -85,3 +85,25 @@ def test_simulation_meets_closed_form(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert market.observed_market(none).count() == 0 and market.channel_gap(none).count() == 0 and market.spread_summary(market.observed_market(none)).first().n_risk_periods == 0
+
+
+def test_400_draws_against_brute_force(spark, tmp_path):
+    import hashlib
+    import statistics
+
+    from quoteloom.plans import market as plans
+
+    rows = [("R1", D1, b, "d", True, p) for b, p in (("A", 100.0), ("B", 120.0), ("C", 90.0))]
+    rows += [("R2", D1, "A", "d", False, None), ("R2", D1, "B", "d", True, 50.0), ("R2", D1, "C", "d", False, None), ("R3", D1, "C", "d", False, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "quotes.parquet"))
+    got = {r.risk_id: r for r in plans.QUERIES["simulate_market_400"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"R1", "R2"}
+    rate, month = {"A": 1 / 2, "B": 1.0, "C": 1 / 3}, D1.replace(day=1)
+    for risk, offers in (("R1", [(90.0, "C"), (100.0, "A"), (120.0, "B")]), ("R2", [(50.0, "B")])):
+        live = [[(p, b) for p, b in offers if int(hashlib.md5(f"0|{risk}|{month}|{b}|{k}".encode()).hexdigest()[:12], 16) / 16**12 < rate[b]] for k in range(400)]
+        wins = [x[0][1] for x in live]
+        best = min(set(wins), key=lambda b: (-wins.count(b), b))
+        r = got[risk]
+        assert (r.modal_winner, r.modal_winner_share) == (best, wins.count(best) / 4)
+        assert abs(r.top5_mean - statistics.mean(statistics.mean(p for p, _ in x) for x in live)) < 1e-7
+        assert abs(r.cheapest_mean - statistics.mean(x[0][0] for x in live)) < 1e-7 and abs(r.n_quoting_mean - statistics.mean(map(len, live))) < 1e-7
