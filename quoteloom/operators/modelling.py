@@ -374,11 +374,13 @@ def _ridge(train, rows):
 
 
 def _trees(train, rows, regressor):
-    from pyspark.ml.feature import VectorAssembler
+    """On the ridge's design, brand one-hot too: a missing number has an indicator, and every row is fitted and scored."""
+    from pyspark.ml.functions import array_to_vector
 
-    va = VectorAssembler(inputCols=RIDGE_FEATURES, outputCol="features_", handleInvalid="skip")
-    model = regressor.setFeaturesCol("features_").setLabelCol("log_premium").setPredictionCol("y_pred").fit(va.transform(train))
-    return model.transform(va.transform(rows)).drop("features_")
+    levels = category_levels(train, [*RIDGE_CATEGORIES, "brand"])
+    assembled = lambda df: df.withColumn("features_", array_to_vector(F.array(*encoded(RIDGE_FEATURES, levels))))
+    model = regressor.setFeaturesCol("features_").setLabelCol("log_premium").setPredictionCol("y_pred").fit(assembled(train))
+    return model.transform(assembled(rows)).drop("features_")
 
 
 @register("gbt_pooled")

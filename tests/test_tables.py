@@ -126,6 +126,15 @@ def test_ridge_per_brand_has_slopes_of_its_own(spark):
     assert not why and len(got) == 250 and max(abs(r.y_pred - r.y_true) for r in got if r.brand != "thin") < 0.02
 
 
+def test_trees_score_rows_with_missing_values(spark):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = [(f"R{j}", "AB"[j % 2], "d", j % 6, "combined", "flat" if j % 5 else None, "standard", "let", 0.0, None if j % 3 else 100.0, None if j % 3 else 0.3, 10 if j % 4 else None, 3, 0, False, None, 5.0 + j % 2) for j in range(120)]
+    m = spark.createDataFrame(rows, "risk_id string, brand string, channel string, week int, policy_type string, building_type string, construction string, occupancy string, log_sum_insured double, voluntary_excess double, log_excess double, property_age int, bedrooms int, claims_last_5y int, flood_history boolean, subsidence_history boolean, log_premium double")
+    got = modelling._trees(m.where("week < 5"), m.where("week = 5"), RandomForestRegressor(numTrees=3, seed=7)).collect()
+    assert len(got) == 20 and all(r.y_pred is not None for r in got)
+
+
 def test_ridge_against_numpy(spark):
     rng = random.Random(4)
     rows = [(rng.gauss(0, 2), rng.gauss(5, 1), 1.0) for _ in range(200)]
