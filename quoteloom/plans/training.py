@@ -13,13 +13,13 @@ from quoteloom.sources import feeds
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Prices recorded otherwise than as whole-year pounds with tax, converted."""
     got = units.normalise_prices(table(spark, d, "vendor_quotes"), table(spark, d, "vendor_specs"))
-    return got.where(~F.col("recorded_as_is")).select("vq_id", "annual_pence")
+    return got.where(~F.col("recorded_as_is") & F.col("annual_pence").isNotNull()).select("vq_id", "annual_pence")
 
 
 def p1_units(spark: SparkSession, d: str) -> DataFrame:
-    """Every price in common units, counted and summed by the unit it came in."""
+    """Every price in common units, counted and summed by the unit it came in; figures too large to convert and texts not wholly read are counted."""
     got = units.normalise_prices(table(spark, d, "vendor_quotes"), table(spark, d, "vendor_specs"))
-    return got.groupBy("unit", "taxed", "unit_from_row").agg(F.count("*").alias("n"), F.sum("annual_pence").alias("annual_pence"))
+    return got.groupBy("unit", "taxed", "unit_from_row").agg(F.count("*").alias("n"), F.sum("annual_pence").alias("annual_pence"), F.count_if(F.col("annual_pence").isNull()).alias("n_too_large"), F.count_if(F.col("unread").isNotNull()).alias("n_unread"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -25,7 +25,31 @@ CASES = [
 
 @pytest.mark.parametrize("text,note,want", CASES)
 def test_reading(text, note, want):
-    assert units.read_quantity(text, note) == want
+    assert units.read_quantity(text, note)[:5] == want
+
+
+@pytest.mark.parametrize("text,note,want", [
+    ("£12.50 monthly", None, (12_500_000, "month")), ("45 monthly", None, (45_000_000, "month")), ("GBP 37.10 monthly", None, (37_100_000, "month")), ("monthly £45", None, (45_000_000, "month")),
+    ("£40 month price", None, (40_000_000, "month")), ("£30 pm", None, (30_000_000, "month")), ("£45 per fortnight", None, (45_000_000, "fortnight")), ("60 for 3 months", None, (60_000_000, "n_months")),
+    ("£300", "monthly instalments available", (300_000_000, None)), ("£300", "renewal in 3 months", (300_000_000, None)), ("£300", "annual travel included", (300_000_000, None)),
+    ("£300", "figure per month; call back promised", (300_000_000, "month")), ("£300", "we charge £25 per month on request", (300_000_000, "month")), ("£300", "call after 3 pm", (300_000_000, None)),
+])
+def test_units_touch_the_price(text, note, want):
+    assert units.read_quantity(text, note)[:2] == want
+
+
+def test_payments_with_at():
+    assert units.read_quantity("12 payments @ £30", None)[:3] == (30_000_000, "payments", 12)
+
+
+def test_unread_words_are_reported():
+    assert units.read_quantity("£30 per lunar cycle", None)[6] == "per lunar cycle"
+
+
+def test_too_large_is_reported(spark):
+    q = spark.createDataFrame([(1, "a", "Y", "9999999 x 9999999", None), (2, "a", "Y", "9" * 40, None), (3, "a", "Y", "£20,000,000 a month", "plus tax")], "vq_id long, spec_name string, status_text string, premium_text string, price_note string")
+    s = spark.createDataFrame([("a", "annual", True)], "spec_name string, premium_basis string, premium_includes_ipt boolean")
+    assert {r.vq_id: r.annual_pence for r in units.normalise_prices(q, s).collect()} == {1: None, 2: None, 3: 26_880_000_000}
 
 
 def test_long_text():
