@@ -37,32 +37,32 @@ def p6_masks(spark: SparkSession, d: str) -> DataFrame:
     return profile.load_masks(table(spark, d, "quotes"), table(spark, d, "risks"), table(spark, d, "loads"))
 
 
-def _records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _records(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]:
+    """(records with approved columns replayed, the names approved: by a spec, by the fixed list, or by their values)."""
     lines, files, names = (table(spark, d, n) for n in ("vendor_lines", "vendor_files", "spec_columns"))
-    read = feeds.read_feeds(lines, files, names)
-    return feeds.promote(read, files, names), feeds.file_headers(lines, files, names), files
+    approved = feeds.declared_names(names)[1]
+    heads = feeds.file_heads(lines, files)
+    approved = feeds.learned_names(lines, files, names, approved, heads) | approved
+    return feeds.read_feeds(lines, files, names, approved, heads=heads), approved
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    records, headers, _ = _records(spark, d)
-    return feeds.judged(records, headers).where("reason_code is not null").select("line_id", "reason_code")
+    return feeds.judged(_records(spark, d)[0]).where("reason_code is not null").select("line_id", "reason_code")
 
 
 def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
     """The sound records as typed quotes."""
-    records, headers, _ = _records(spark, d)
-    return feeds.typed(feeds.judged(records, headers).where("reason_code is null").drop("reason_code"))
+    return feeds.typed(feeds.judged(_records(spark, d)[0]).where("reason_code is null").drop("reason_code", "error_type", "feed_id"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    records, headers, files = _records(spark, d)
-    return feeds.feed_changes(headers, feeds.value_kinds(records), files).select("file_id", "change_kind", "header_text")
+    headers, kinds = feeds.file_summary(*_records(spark, d))
+    return feeds.feed_changes(headers, kinds, table(spark, d, "vendor_files")).select("file_id", "change_kind", "header_text")
 
 
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
     """All readable records of all files as one table, what does not fit kept as JSON."""
-    records, _, _ = _records(spark, d)
-    return feeds.typed(records.where("reason is null").drop("reason"))
+    return feeds.typed(_records(spark, d)[0].where("reason is null and columns is null").drop("reason", "error_type", "columns", "has", "feed_id"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_units": p1_units, "p5_found": p5_found, "p5_loaded": p5_loaded, "p6_found": p6_found, "p6_profile": p6_profile, "p6_masks": p6_masks, "p7_found": p7_found, "p7_table": p7_table}

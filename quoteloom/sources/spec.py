@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 
 from quoteloom.functions import scalars as S
 from quoteloom.operators.tables import melt_wide
-from quoteloom.sources.feeds import hinted_field
 
 # The type of each canonical field; all others are text.
 NUMBERS = {"premium", "compulsory_excess", "cashback", "buildings_sum_insured", "contents_sum_insured", "voluntary_excess"}
@@ -25,6 +25,37 @@ SPELLINGS: dict[str, dict[str, str]] = {
     "channel": {"direct": "direct", "insurer direct": "direct", "own site": "direct", "compare the market": "pcw_ctm", "ctm": "pcw_ctm", "moneysupermarket": "pcw_msm", "money supermarket": "pcw_msm", "msm": "pcw_msm", "confused": "pcw_confused", "confused.com": "pcw_confused", "gocompare": "pcw_gocompare", "go compare": "pcw_gocompare"},
 }
 
+#: Words of a header that name its field; of those that fit the longest decides, then the first.
+NAME_HINTS: list[tuple[str, str]] = [
+    ("postcode", r"post ?code|pcode|postal|zip"),
+    ("bedrooms", r"bedrooms?|beds?"),
+    ("year_built", r"year built|built|construction year|build year"),
+    ("voluntary_excess", r"voluntary excess|excess|\bxs\b|deductible"),
+    ("underwriter", r"underwriter|underwrit|carrier|written by"),
+    ("incentive_note", r"offer|promotion|promo|incentive|gift"),
+    ("cashback", r"cash ?back|cash|reward|rebate"),
+    ("rank_on_page", r"rank|position|place"),
+    ("collected_on", r"quote ?date|date|\bday\b|collected"),
+    ("quoted", r"outcome|result|flag|response ?type|status|decision"),
+    ("premium", r"premium|price|cost|amount|payable"),
+    ("channel", r"channel|site|route|where|aggregator"),
+    ("brand", r"brand|insurer|company|provider"),
+    ("building_type", r"building ?type|building|dwelling|house|property ?type|home type"),
+    ("risk_id", r"risk ?id|risk|case|profile|property ?ref"),
+    ("quote_ref", r"quote ?ref(?:erence)?|quote|enquiry|reference|\bref\b|\bkey\b"),
+]
+
+
+def hinted_field(name: str) -> str | None:
+    """The field whose hint covers most of a header's words; the first of equals."""
+    words = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).replace("_", " ").lower()
+    best, most = None, 0
+    for field_id, hint in NAME_HINTS:
+        longest = max((len(m.group()) for m in re.finditer(hint, words)), default=0)
+        if longest > most:
+            best, most = field_id, longest
+    return best
+
 
 @dataclass
 class VendorSpec:
