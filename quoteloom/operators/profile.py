@@ -1,9 +1,9 @@
 """Column profiles of loads: masks, nulls, distinct values, ranges and how they moved since the load before.
 
-A value's mask is its text with characters generalised by class: a run of letters becomes ``a`` or ``A``, a digit
-``9``. Masks that cover most of a column's values are its dominant patterns; the rest are rare and their values
-suspect. One shuffle counts each distinct value of a load and column; everything else is computed from those
-counts, so that masks are built once per distinct value and no load is ever gathered into one task.
+A value's mask is its text with characters generalised by class. The masks that stand in most loads are a column's
+dominant patterns; values of any other mask are suspects, and an exact check of the field's step decides on them.
+One shuffle counts each distinct value of a load and column, a second sums them up by mask; everything else, the mining
+of patterns, the violations and how far mask distributions diverge between loads, is read from that small table.
 """
 
 from __future__ import annotations
@@ -27,12 +27,16 @@ def decimal_text(value: Column, places: int = 6) -> Column:
     return F.regexp_replace(F.regexp_replace(value.cast(f"decimal(24,{places})").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def rare_ending(value: Column, step: float) -> Column:
-    """Whether a number's mask ends otherwise than those of multiples of ``step`` (0.01, or 50) can: a candidate only."""
+def number_mask(value: Column, step: float) -> Column:
+    """A number's mask, as fine as the field's step asks: places behind the point for a step below one, else the last digits by the classes 0, 5 and 9.
+
+    312.5 is ``9.9`` by steps of 0.01; by steps of 50, 150 is ``#50`` and 153 is ``#59``, where # stands for the digits before.
+    """
     text = decimal_text(value)
     if step < 1:
-        return value_mask(text).rlike(rf"\.9{{{len(str(round(1 / step)))},}}$")
-    return ~text.rlike(r"^-?\d*[05]0$|^-?0$")
+        return F.regexp_replace(F.regexp_replace(text, r"^(-?)\d+", "$1#"), r"\d", "9")
+    last = len(str(round(step)))
+    return F.regexp_replace(F.regexp_replace(text, rf"^(-?)\d+(\d{{{last}}})(\.|$)", "$1#$2$3"), "[1-46-9]", "9")
 
 
 def mask_counts(values: DataFrame, keys: list[str], value: str = "value_text", count: str = "n") -> DataFrame:
@@ -41,10 +45,16 @@ def mask_counts(values: DataFrame, keys: list[str], value: str = "value_text", c
     return values.withColumn("mask", m).groupBy(*keys, "mask").agg(F.sum(count).alias("n"), F.count("*").alias("n_distinct"))
 
 
-def dominant_masks(masks: DataFrame, column_keys: list[str], *, share: float = 0.02) -> DataFrame:
-    """(column keys, mask, share): the masks that hold at least ``share`` of a column's non-null values over all loads."""
-    totals = masks.where("mask <> '<null>'").groupBy(*column_keys, "mask").agg(F.sum("n").alias("n"))
-    return totals.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*column_keys))).where(F.col("share") >= share).drop("n")
+def dominant_masks(masks: DataFrame, load: str, column_keys: list[str], *, share: float = 0.02, loads_share: float = 0.5) -> DataFrame:
+    """(column keys, mask): the patterns of a column, masks that hold ``share`` of the values in ``loads_share`` of its loads.
+
+    Loads are counted and not rows, so that a large damaged load makes no pattern of its damage.
+    """
+    known = masks.where("mask <> '<null>'").groupBy(load, *column_keys, "mask").agg(F.sum("n").alias("n"))
+    per = known.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(load, *column_keys)))
+    all_loads = known.groupBy(*column_keys).agg(F.count_distinct(load).alias("loads_"))
+    seen = per.where(F.col("share") >= share).groupBy(*column_keys, "mask").agg(F.count("*").alias("in_"))
+    return seen.join(all_loads, column_keys).where(F.col("in_") >= loads_share * F.col("loads_")).select(*column_keys, "mask")
 
 
 def mask_divergence(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,36 +104,65 @@ def exact_medians(rows: DataFrame, keys: list[str], value: str, *, width: float
     return found.groupBy(*keys).agg(((at(lo) + at(hi)) / 2).alias("median"))
 
 
-def profile_loads(quotes: DataFrame, risks: DataFrame, *, value_bounds: dict | None = None) -> DataFrame:
-    """One row per load and field: counts, null share, distinct values, range and pattern violations, and level.
+#: Bounds of a sound value and the step that sound values are multiples of.
+BOUNDS: dict[str, tuple[float, float, float]] = {"premium": (0.0, 25000.0, 0.01), "voluntary_excess": (0.0, 2000.0, 50.0)}
 
-    Fields: ``quoted``, ``premium`` (by load of quotes), ``voluntary_excess`` (by load of risks). NaN counts as
-    null. Pattern violations are found on masks first (a premium's decimals, an excess's last digits), then
-    checked exactly. Empty tables give no rows; repeated rows count as often as they stand.
+
+def mask_state(quotes: DataFrame, risks: DataFrame, bounds: dict[str, tuple[float, float, float]] = BOUNDS) -> DataFrame:
+    """(load_id, field_id, mask, n, n_distinct, n_off_step, ...), a row a load, field and mask, written once.
+
+    ``n_off_step`` counts the values that the exact check finds to be no multiple of the field's step.
     """
-    # Bounds of a sound value and the step that sound values are multiples of.
-    bounds = value_bounds or {"premium": (0.0, 25000.0, 0.01), "voluntary_excess": (0.0, 2000.0, 50.0)}
     counted = _value_counts(quotes, risks)
     v, n = F.col("value"), F.col("n")
-    suspect, outside = F.lit(False), F.lit(False)
+    off, outside, mask = F.lit(False), F.lit(False), F.lit(None).cast("string")
     for field, (least, most, step) in bounds.items():
         here = F.col("field_id") == field
         outside = outside | (here & ((v < least) | (v > most)))
         units = v / F.lit(step) if step >= 1 else v * F.lit(round(1 / step))
-        suspect = suspect | (here & rare_ending(v, step) & (F.abs(units - F.round(units)) > 1e-4))
+        off = off | (here & (F.abs(units - F.round(units)) > 1e-4))
+        mask = F.when(here, number_mask(v, step)).otherwise(mask)
     none = F.lit(0).cast("long")
-    whole = counted.groupBy("load_id", "field_id").agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(v.isNull(), n).otherwise(none)).alias("n_null"),
+    counted = counted.withColumns({"mask": F.coalesce(mask, F.lit("<null>")), "off_": off, "outside_": outside})
+    return checkpointed(counted.groupBy("load_id", "field_id", "mask").agg(
+        F.sum("n").alias("n"),
         F.count("value").alias("n_distinct"),
         F.min("value").alias("least"),
         F.max("value").alias("most"),
-        F.sum(F.when(outside, n).otherwise(none)).alias("n_outside"),
-        F.sum(F.when(suspect, n).otherwise(none)).alias("n_pattern"),
+        F.sum(F.when(F.col("outside_"), n).otherwise(none)).alias("n_outside"),
+        F.sum(F.when(F.col("off_"), n).otherwise(none)).alias("n_off_step"),
         F.sum("n_true").alias("n_true"),
         F.sum("n_false").alias("n_false"),
         F.sum(F.when(v.between(0, 2000), v * n)).alias("sum_inside"),
         F.sum(F.when(v.between(0, 2000), n)).alias("n_inside"),
+    ))
+
+
+def mined(state: DataFrame) -> DataFrame:
+    """``state`` with ``rare``: whether a mask is no dominant pattern of its column. One that breaks the field's step itself is none."""
+    broken = state.where("n_off_step > 0").select("field_id", "mask").distinct()
+    common = dominant_masks(state, "load_id", ["field_id"]).join(broken, ["field_id", "mask"], "left_anti").withColumn("common_", F.lit(True))
+    return state.join(F.broadcast(common), ["field_id", "mask"], "left").withColumn("rare", F.col("common_").isNull() & (F.col("mask") != "<null>")).drop("common_")  # at most 50 masks a field hold 2 % each
+
+
+def profile_loads(quotes: DataFrame, risks: DataFrame, *, bounds: dict[str, tuple[float, float, float]] = BOUNDS, state: DataFrame | None = None) -> DataFrame:
+    """One row per load and field: counts, null share, distinct values, range and pattern violations, and level.
+
+    Fields: ``quoted``, ``premium`` (by load of quotes), ``voluntary_excess`` (by load of risks). NaN counts as
+    null. Pattern violations are values of rare masks (a premium's decimals, an excess's last digits) that an exact
+    check confirms. Empty tables give no rows; repeated rows count as often as they stand.
+    """
+    state = mask_state(quotes, risks, bounds) if state is None else state
+    none = F.lit(0).cast("long")
+    whole = mined(state).groupBy("load_id", "field_id").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum(F.when(F.col("mask") == "<null>", F.col("n")).otherwise(none)).alias("n_null"),
+        F.sum("n_distinct").alias("n_distinct"),
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
+        F.sum("n_outside").alias("n_outside"),
+        F.sum(F.when(F.col("rare"), F.col("n_off_step")).otherwise(none)).alias("n_pattern"),
+        *[F.sum(c).alias(c) for c in ("n_true", "n_false", "sum_inside", "n_inside")],
     )
     medians = exact_medians(quotes.where("quoted and premium > 0 and not isnan(premium)"), ["load_id"], "premium")
     whole = whole.join(medians, "load_id", "left")
@@ -166,19 +205,16 @@ def load_issues(profiles: DataFrame, loads: DataFrame) -> DataFrame:
     return both.select("load_id", "field_id", F.explode(codes).alias("issue_code"))
 
 
-def load_masks(quotes: DataFrame, risks: DataFrame, loads: DataFrame, *, share: float = 0.02) -> DataFrame:
-    """One row per load and field: rows of rare masks, its commonest rare mask, and divergence from the load before.
+def load_masks(state: DataFrame, loads: DataFrame) -> DataFrame:
+    """One row per load and field: rows of rare masks, the commonest rare mask, and the divergence of masks from the load before.
 
-    A rare mask holds under ``share`` of the field's values over all loads. The divergence is null for a load
-    without a predecessor.
+    ``state`` is that of ``mask_state``. The divergence is null for a load without a predecessor.
     """
-    counted = _value_counts(quotes, risks).withColumn("value_text", decimal_text(F.col("value")))
-    masks = checkpointed(mask_counts(counted, ["load_id", "field_id"]))  # a row a load, field and mask
-    common = dominant_masks(masks, ["field_id"], share=share)
-    rare = masks.where("mask <> '<null>'").join(common, ["field_id", "mask"], "left_anti").groupBy("load_id", "field_id").agg(F.sum("n").alias("n_rare"), F.max_by("mask", F.struct("n", "mask")).alias("rare_mask"))
+    masks = mined(state).select("load_id", "field_id", "mask", "n", "rare")
+    every = masks.groupBy("load_id", "field_id").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("rare"), F.col("n")).otherwise(F.lit(0))).alias("n_rare"), F.max_by("mask", F.when(F.col("rare"), F.struct("n", "mask"))).alias("rare_mask"))
     links = loads.select("load_id", "prior_load_id").dropDuplicates(["load_id"]).where("prior_load_id is not null")
-    before = masks.select(F.col("load_id").alias("prior_load_id"), "field_id", "mask", "n").join(links, "prior_load_id").select("load_id", "field_id", "mask", "n")
-    now = masks.join(before.select("load_id", "field_id").distinct(), ["load_id", "field_id"], "left_semi")
-    divergence = mask_divergence(now, before, ["load_id", "field_id"])
-    every = masks.groupBy("load_id", "field_id").agg(F.sum("n").alias("n_rows"))
-    return every.join(rare, ["load_id", "field_id"], "left").join(divergence, ["load_id", "field_id"], "left").na.fill(0, ["n_rare"])
+    plain = state.select("load_id", "field_id", "mask", "n")
+    before = plain.withColumnRenamed("load_id", "prior_load_id").join(links, "prior_load_id").select("load_id", "field_id", "mask", "n")
+    now = plain.join(before.select("load_id", "field_id").distinct(), ["load_id", "field_id"], "left_semi")
+    divergence = mask_divergence(now, before.join(plain.select("load_id", "field_id").distinct(), ["load_id", "field_id"], "left_semi"), ["load_id", "field_id"])
+    return every.join(divergence, ["load_id", "field_id"], "left")

@@ -34,7 +34,8 @@ def p6_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_masks(spark: SparkSession, d: str) -> DataFrame:
     """Rare masks and mask divergence of each load and field."""
-    return profile.load_masks(table(spark, d, "quotes"), table(spark, d, "risks"), table(spark, d, "loads"))
+    state = profile.mask_state(table(spark, d, "quotes"), table(spark, d, "risks"))
+    return profile.load_masks(state, table(spark, d, "loads")).withColumn("divergence", F.round("divergence", 6))
 
 
 def _records(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]:
@@ -79,7 +80,31 @@ _P6_STATE = """
       UNION ALL
       SELECT load_id, 'quoted', count(*), count(*) - count(quoted), count(DISTINCT quoted), NULL, NULL, 0, 0 FROM quotes GROUP BY load_id)"""
 
+_TEXT = "regexp_replace(regexp_replace(CAST(CAST(v AS DECIMAL(24,6)) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+_P6_MASKS = f"""
+    state AS (
+      SELECT load_id, 'premium' AS field_id, CASE WHEN NOT isnan(premium) THEN premium END AS v FROM quotes
+      UNION ALL SELECT load_id, 'voluntary_excess', CASE WHEN NOT isnan(voluntary_excess) THEN voluntary_excess END FROM risks),
+    marked AS (
+      SELECT load_id, field_id, CASE field_id WHEN 'premium' THEN abs(v * 100 - round(v * 100)) ELSE abs(v / 50 - round(v / 50)) END > 0.0001 AS off_step,
+             coalesce(CASE field_id WHEN 'premium' THEN regexp_replace(regexp_replace({_TEXT}, '^(-?)\\d+', '\\1#'), '\\d', '9', 'g')
+               ELSE regexp_replace(regexp_replace({_TEXT}, '^(-?)\\d+(\\d\\d)(\\.|$)', '\\1#\\2\\3'), '[1-46-9]', '9', 'g') END, '<null>') AS mask FROM state),
+    masks AS (SELECT load_id, field_id, mask, count(*) AS n, count(*) FILTER (WHERE off_step) AS n_off FROM marked GROUP BY ALL),
+    shares AS (SELECT *, n / sum(n) OVER (PARTITION BY load_id, field_id) AS p, n / sum(n) FILTER (WHERE mask <> '<null>') OVER (PARTITION BY load_id, field_id) AS s FROM masks),
+    dominant AS (SELECT field_id, mask FROM shares WHERE mask <> '<null>' GROUP BY field_id, mask
+      HAVING sum(n_off) = 0 AND count(*) FILTER (WHERE s >= 0.02) >= 0.5 * (SELECT count(DISTINCT load_id) FROM masks x WHERE x.field_id = shares.field_id AND mask <> '<null>')),
+    judged AS (SELECT m.*, d.mask IS NULL AND m.mask <> '<null>' AS rare FROM masks m LEFT JOIN dominant d USING (field_id, mask))"""
+
 SQL: dict[str, str] = {
+    "p6_masks": f"""WITH {_P6_MASKS},
+    every AS (SELECT load_id, field_id, CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (WHERE rare), 0) AS BIGINT) AS n_rare, max(mask) FILTER (WHERE rare AND place = 1) AS rare_mask
+      FROM (SELECT *, row_number() OVER (PARTITION BY load_id, field_id, rare ORDER BY n DESC, mask DESC) AS place FROM judged) GROUP BY ALL),
+    pairs AS (SELECT a.load_id, a.field_id FROM every a JOIN loads l ON l.load_id = a.load_id JOIN every b ON b.load_id = l.prior_load_id AND b.field_id = a.field_id),
+    grams AS (SELECT load_id, field_id, mask FROM pairs JOIN shares USING (load_id, field_id) UNION SELECT p.load_id, p.field_id, s.mask FROM pairs p JOIN loads l USING (load_id) JOIN shares s ON s.load_id = l.prior_load_id AND s.field_id = p.field_id),
+    parts AS (SELECT g.load_id, g.field_id, coalesce(a.p, 0) AS p, coalesce(b.p, 0) AS q FROM grams g JOIN loads l USING (load_id)
+      LEFT JOIN shares a ON a.load_id = g.load_id AND a.field_id = g.field_id AND a.mask = g.mask LEFT JOIN shares b ON b.load_id = l.prior_load_id AND b.field_id = g.field_id AND b.mask = g.mask),
+    diverged AS (SELECT load_id, field_id, round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 6) AS divergence FROM parts GROUP BY ALL)
+    SELECT * FROM every LEFT JOIN diverged USING (load_id, field_id)""",
     "p6_profile": f"WITH {_P6_STATE} SELECT * FROM profiles",
     "p6_found": f"""WITH {_P6_STATE},
     levels AS (
