@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quoteloom.functions.scalars import hash_uniform, nan_to_null, period_start
 from quoteloom.operators.profile import exact_medians
+from quoteloom.operators.quantiles import median, with_quantiles
+from quoteloom.operators.tables import top_per
+from quoteloom.session import checkpointed
 
 
 def prepared(quotes: DataFrame, period: str = "day") -> DataFrame:
@@ -65,9 +68,7 @@ def observed_market(quotes: DataFrame, *, k: int = 5, period: str = "day", by_ch
     brands = q.groupBy(*group, "brand").agg(F.bool_or("quoted").alias("quoted"))
     counts = brands.groupBy(*group).agg(F.count("*").alias("n_on_panel"), F.count_if("quoted").alias("n_quoting"))
     priced = q.where("premium is not null").select(*group, F.struct(F.col("premium").alias("p"), "brand", "channel").alias("s"), "premium")
-    salted = priced.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(subgroups)))
-    first = salted.withColumn("r", F.row_number().over(Window.partitionBy(*group, "salt").orderBy("s"))).where(F.col("r") <= k)
-    best = first.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("s"))).where(F.col("r") <= k).groupBy(*group).agg(F.sort_array(F.collect_list("s")).alias("top"))
+    best = top_per(priced, group, ["s"], k, "r", subgroups=subgroups).groupBy(*group).agg(F.sort_array(F.collect_list("s")).alias("top"))
     panel = priced.groupBy(*group).agg(F.count("*").alias("n_priced"), F.max("premium").alias("panel_max"))
     medians = exact_medians(priced, group, "premium").withColumnRenamed("median", "panel_median")
     per = counts.join(best, group, "left").join(panel, group, "left").join(medians, group, "left")
@@ -84,11 +85,12 @@ def market_by_period(market: DataFrame, *, k: int = 5, basket: DataFrame | None
         m = m.join(basket.select("risk_id").distinct(), "risk_id", "left_semi")
     group = ["period"] + (["channel"] if by_channel else [])
     top = f"top{k}_mean"
+    m = checkpointed(m.select(*group, "n_quoting", "cheapest_price", top, f"top{k}_median", "spread_abs", "spread_pct", "panel_spread_pct"))  # read twice
     # a risk has one row a period and channel, so rows count risks
     agg = m.groupBy(*group).agg(
-        F.count("*").alias("n_risks"), F.avg("n_quoting").alias("n_quoting_mean"), F.avg("cheapest_price").alias("cheapest_mean"), F.avg(top).alias(top),
-        F.median(f"top{k}_median").alias(f"top{k}_median"), F.avg("spread_abs").alias("spread_abs_mean"), F.median("spread_pct").alias("spread_pct_median"), F.median("panel_spread_pct").alias("panel_spread_pct_median"),
+        F.count("*").alias("n_risks"), F.avg("n_quoting").alias("n_quoting_mean"), F.avg("cheapest_price").alias("cheapest_mean"), F.avg(top).alias(top), F.avg("spread_abs").alias("spread_abs_mean"),
     )
+    agg = with_quantiles(agg, m, group, {f"top{k}_median": median(F.col(f"top{k}_median")), "spread_pct_median": median(F.col("spread_pct")), "panel_spread_pct_median": median(F.col("panel_spread_pct"))}, written=False)
     w = Window.partitionBy(*(["channel"] if by_channel else [F.lit(0)])).orderBy("period")  # a row a period: hundreds
     return agg.withColumns({"index_100": F.col(top) / F.first(top).over(w) * 100, "wow_pct": (F.col(top) / F.lag(top).over(w) - 1) * 100})
 
@@ -103,10 +105,12 @@ def brand_competitiveness(quotes: DataFrame, *, k: int = 5, period: str = "day")
     priced = asked.withColumns({"rank": F.when(F.col("premium").isNotNull(), F.rank().over(w.orderBy(F.col("premium").asc_nulls_last()))), "best": F.min("premium").over(w), "place": F.row_number().over(ordered)})
     priced = priced.withColumn("top_mean", F.avg(F.when(F.col("place") <= k, F.col("premium"))).over(w))
     gap = lambda c: F.when(F.col(c) != 0, (F.col("premium") / F.col(c) - 1) * 100)
-    return priced.groupBy("brand").agg(
+    priced = checkpointed(priced.select("brand", "quoted", "rank", "premium", gap("best").alias("gap_best"), gap("top_mean").alias("gap_top")))  # read twice
+    counts = priced.groupBy("brand").agg(
         F.count("*").alias("n_asked"), F.count_if("quoted").alias("n_quoted"), F.count_if(F.col("rank") == 1).alias("n_cheapest"), F.count_if(F.col("rank") <= k).alias(f"n_in_top{k}"),
-        F.median("rank").alias("median_rank"), F.median("premium").alias("median_premium"), F.median(gap("best")).alias("gap_to_cheapest_pct"), F.median(gap("top_mean")).alias(f"gap_to_top{k}_pct"),
-    ).withColumns({f"{name}_pct": F.col(c) / F.col("n_asked") * 100 for name, c in (("quote_rate", "n_quoted"), ("cheapest_share", "n_cheapest"), (f"top{k}_share", f"n_in_top{k}"))})
+    )
+    medians = {"median_rank": median(F.col("rank")), "median_premium": median(F.col("premium")), "gap_to_cheapest_pct": median(F.col("gap_best")), f"gap_to_top{k}_pct": median(F.col("gap_top"))}
+    return with_quantiles(counts, priced, ["brand"], medians, written=False).withColumns({f"{name}_pct": F.col(c) / F.col("n_asked") * 100 for name, c in (("quote_rate", "n_quoted"), ("cheapest_share", "n_cheapest"), (f"top{k}_share", f"n_in_top{k}"))})
 
 
 def channel_gap(quotes: DataFrame, *, period: str = "day") -> DataFrame:
@@ -115,18 +119,17 @@ def channel_gap(quotes: DataFrame, *, period: str = "day") -> DataFrame:
     direct = F.col("channel") == "direct"
     pair = q.groupBy("risk_id", "period", "brand").agg(F.min(F.when(direct, F.col("premium"))).alias("direct"), F.min(F.when(~direct, F.col("premium"))).alias("other"))
     pair = pair.where("direct is not null and other is not null").withColumn("gap", F.when(F.col("other") != 0, (F.col("direct") / F.col("other") - 1) * 100))
-    return pair.groupBy("brand").agg(F.count("*").alias("n_pairs"), F.median("direct").alias("direct_median"), F.median("other").alias("pcw_median"), F.median("gap").alias("direct_over_pcw_pct"))
+    pair = checkpointed(pair.select("brand", "direct", "other", "gap"))  # read twice
+    return with_quantiles(pair.groupBy("brand").agg(F.count("*").alias("n_pairs")), pair, ["brand"], {"direct_median": median(F.col("direct")), "pcw_median": median(F.col("other")), "direct_over_pcw_pct": median(F.col("gap"))}, written=False)
 
 
 def spread_summary(market: DataFrame, *, k: int = 5) -> DataFrame:
     """One row: how many risk-periods, and the distribution of prices and spreads. An empty market gives counts of zero."""
-    m = market.where("cheapest_price is not null")
-    at = F.percentile("spread_pct", [0.1, 0.5, 0.9])
-    return m.agg(
-        F.count("*").alias("n_risk_periods"), F.count_if(f"top{k}_complete").alias("n_complete"), F.avg("cheapest_price").alias("cheapest_mean"), F.median("cheapest_price").alias("cheapest_median"),
-        F.avg(f"top{k}_mean").alias(f"top{k}_mean"), F.median("spread_abs").alias("spread_abs_median"), at[0].alias("spread_pct_p10"), at[1].alias("spread_pct_median"), at[2].alias("spread_pct_p90"),
-        F.median("panel_spread_pct").alias("panel_spread_pct_median"), F.avg("n_quoting").alias("n_quoting_mean"),
-    )
+    m = checkpointed(market.where("cheapest_price is not null").select("cheapest_price", f"top{k}_mean", f"top{k}_complete", "spread_abs", "spread_pct", "panel_spread_pct", "n_quoting"))  # read twice
+    one = m.agg(F.count("*").alias("n_risk_periods"), F.count_if(f"top{k}_complete").alias("n_complete"), F.avg("cheapest_price").alias("cheapest_mean"), F.avg(f"top{k}_mean").alias(f"top{k}_mean"), F.avg("n_quoting").alias("n_quoting_mean"))
+    spread = F.col("spread_pct")
+    wanted = {"cheapest_median": median(F.col("cheapest_price")), "spread_abs_median": median(F.col("spread_abs")), "spread_pct_p10": (spread, 0.1), "spread_pct_median": (spread, 0.5), "spread_pct_p90": (spread, 0.9), "panel_spread_pct_median": median(F.col("panel_spread_pct"))}
+    return with_quantiles(one, m, [], wanted, written=False)
 
 
 def common_risks(market: DataFrame, period: str = "period") -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteloom.functions.scalars import hash_uniform, nan_to_null
+from quoteloom.operators.quantiles import exact_quantiles, median, with_quantiles
+from quoteloom.operators.tables import top_per
+from quoteloom.session import checkpointed
 
 
 def model_matrix(quotes: DataFrame, risks: DataFrame, *, quoted_only: bool = True, reference_year: int = 2026) -> DataFrame:
@@ -63,18 +66,21 @@ def level_model(train: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(means, by, "left").crossJoin(F.broadcast(overall)).withColumn("y_pred", F.coalesce("own_", "all_")).drop("own_", "all_")
 
 
+def last_week(rows: DataFrame) -> DataFrame:
+    return rows.crossJoin(F.broadcast(rows.agg(F.max("week").alias("last_")))).where("week = last_").drop("last_")  # one row
+
+
 def last_level_model(train: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` with y_pred: the last week's median by brand and channel, else by brand, else of the market."""
-    last = train.crossJoin(F.broadcast(train.agg(F.max("week").alias("last_")))).where("week = last_")  # one row
-    both = last.groupBy("brand", "channel").agg(F.median("log_premium").alias("a_"))
-    brand = last.groupBy("brand").agg(F.median("log_premium").alias("b_"))
-    market = last.agg(F.median("log_premium").alias("c_"))
+    last = checkpointed(last_week(train).select("brand", "channel", "log_premium"))
+    level = lambda keys, name: exact_quantiles(last, keys, {name: median(F.col("log_premium"))}, written=False)
+    both, brand, market = level(["brand", "channel"], "a_"), level(["brand"], "b_"), level([], "c_")
     return rows.join(both, ["brand", "channel"], "left").join(brand, "brand", "left").crossJoin(F.broadcast(market)).withColumn("y_pred", F.coalesce("a_", "b_", "c_")).drop("a_", "b_", "c_")
 
 
 def recalibrated_levels(levels: DataFrame, fresh: DataFrame) -> DataFrame:
     """The level table (brand, channel, level) with the latest week's medians upserted."""
-    new = fresh.crossJoin(F.broadcast(fresh.agg(F.max("week").alias("last_")))).where("week = last_").groupBy("brand", "channel").agg(F.median("log_premium").alias("level"))
+    new = exact_quantiles(last_week(fresh), ["brand", "channel"], {"level": median(F.col("log_premium"))})
     return levels.join(new.select("brand", "channel"), ["brand", "channel"], "left_anti").unionByName(new)
 
 
@@ -195,19 +201,25 @@ def premium_metrics(scored: DataFrame, by: list[str]) -> DataFrame:
     """n, mdape, mape, rmsle, bias, within_10pct of log-scale y_true and y_pred, per group (all rows if none)."""
     e = percentage_error()
     sq = (F.col("y_true") - F.col("y_pred")) ** 2
-    return scored.where("y_true is not null and y_pred is not null").groupBy(*by).agg(
-        F.count("*").alias("n"), (F.median(F.abs(e)) * 100).alias("mdape"), (F.avg(F.abs(e)) * 100).alias("mape"), F.sqrt(F.avg(sq)).alias("rmsle"), (F.median(e) * 100).alias("bias"), (F.avg((F.abs(e) <= 0.1).cast("int")) * 100).alias("within_10pct"),
-    )
+    rows = checkpointed(scored.where("y_true is not null and y_pred is not null").select(*by, e.alias("e"), sq.alias("sq")))  # read twice
+    means = rows.groupBy(*by).agg(F.count("*").alias("n"), (F.avg(F.abs("e")) * 100).alias("mape"), F.sqrt(F.avg("sq")).alias("rmsle"), (F.avg((F.abs("e") <= 0.1).cast("int")) * 100).alias("within_10pct"))
+    both = with_quantiles(means, rows, by, {"mdape": median(F.abs("e") * 100), "bias": median(F.col("e") * 100)}, written=False)
+    return both.select(*by, "n", "mdape", "mape", "rmsle", "bias", "within_10pct")
 
 
 def rolling_metrics(scored: DataFrame) -> DataFrame:
-    """Errors by (approach, week), (approach, brand), (approach) and overall, in one pass of grouping sets."""
+    """Errors by (approach, week), (approach, brand), (approach) and overall; each row is expanded to the four once."""
     e = percentage_error() * 100
-    s = scored.withColumn("e", e).withColumn("pounds", F.abs(F.exp("y_pred") - F.exp("y_true")))
+    no = lambda c: F.lit(None).cast(scored.schema[c].dataType)
+    at = lambda level, *held: F.struct(F.lit(level).alias("level"), *[(F.col(c) if c in held else no(c)).alias(c) for c in ("approach", "week", "brand")])
+    sets = F.array(at(1, "approach", "week"), at(2, "approach", "brand"), at(3, "approach"), at(7))
+    s = checkpointed(scored.select(F.explode(sets).alias("g"), e.alias("e"), F.abs(F.exp("y_pred") - F.exp("y_true")).alias("pounds")).select("g.*", "e", "pounds"))
     share = lambda t: (F.avg((F.abs("e") <= t).cast("int")) * 100).alias(f"within_{t}")
-    return s.groupingSets([["approach", "week"], ["approach", "brand"], ["approach"], []], "approach", "week", "brand").agg(
-        F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.avg(F.abs("e")).alias("mape"), F.median(F.abs("e")).alias("mdape"), F.median("e").alias("bias"), F.avg("e").alias("mean_pe"), F.stddev_samp("e").alias("sd_pe"), F.var_samp("e").alias("var_pe"), share(5), share(10), share(20), F.avg("pounds").alias("mae_gbp"),
+    keys = ["level", "approach", "week", "brand"]
+    means = s.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(F.abs("e")).alias("mape"), F.avg("e").alias("mean_pe"), F.stddev_samp("e").alias("sd_pe"), F.var_samp("e").alias("var_pe"), share(5), share(10), share(20), F.avg("pounds").alias("mae_gbp"),
     )
+    return with_quantiles(means, s, keys, {"mdape": median(F.abs("e")), "bias": median(F.col("e"))}, written=False)
 
 
 def top_k_metrics(scored: DataFrame, k: int = 5, *, group: tuple[str, ...] = ("risk_id", "week")) -> DataFrame:
@@ -215,22 +227,20 @@ def top_k_metrics(scored: DataFrame, k: int = 5, *, group: tuple[str, ...] = ("r
 
     Brands are not collapsed: one that stands on several channels can fill several places, and a predicted place
     is priced at all the brand's true prices in the group. Groups of one row are left out. Ties go by brand and channel.
+    The k cheapest of a group come from hashed subgroups, and prices are summed by brand before they meet them.
     """
     g = [*group]
-    w = Window.partitionBy(*g)
-    order = lambda c: w.orderBy(c, "brand", "channel")
-    r = scored.select(*g, "brand", "channel", "y_true", "y_pred").withColumns({"n": F.count("*").over(w), "t": F.row_number().over(order("y_true")), "p": F.row_number().over(order("y_pred"))}).where("n > 1")
-    per = r.groupBy(*g).agg(
-        F.least(F.lit(k), F.max("n")).alias("kk"), F.max(F.when(F.col("t") == 1, F.col("brand"))).alias("t1"), F.max(F.when(F.col("p") == 1, F.col("brand"))).alias("p1"),
-        F.collect_set(F.when(F.col("t") <= k, F.col("brand"))).alias("tb"), F.collect_set(F.when(F.col("p") <= k, F.col("brand"))).alias("pb"), F.avg(F.when(F.col("t") <= k, F.exp("y_true"))).alias("tm"),
-    )
-    chosen = r.where(F.col("p") <= k).select(*g, "brand")
-    paid = chosen.join(r.select(*g, "brand", "y_true"), [*g, "brand"]).groupBy(*g).agg(F.avg(F.exp("y_true")).alias("pm"))
-    one = per.join(paid, g)
-    return one.agg(
-        (F.avg((F.col("t1") == F.col("p1")).cast("int")) * 100).alias("cheapest_hit"), (F.avg(F.size(F.array_intersect("tb", "pb")) / F.col("kk")) * 100).alias(f"top{k}_overlap"),
-        (F.median(F.abs(F.col("pm") - F.col("tm")) / F.col("tm")) * 100).alias(f"top{k}_price_err"), F.count("*").alias("n_groups"),
-    )
+    r = checkpointed(scored.select(*g, "brand", "channel", "y_true", "y_pred"))  # read four times
+    sizes = r.groupBy(*g).agg(F.count("*").alias("n")).where("n > 1")
+    true = top_per(r, g, ["y_true", "brand", "channel", "y_pred"], k, "t").groupBy(*g).agg(F.max(F.when(F.col("t") == 1, F.col("brand"))).alias("t1"), F.collect_set("brand").alias("tb"), F.avg(F.exp("y_true")).alias("tm"))  # k rows a group
+    chosen = top_per(r, g, ["y_pred", "brand", "channel", "y_true"], k, "p")
+    pred = chosen.groupBy(*g).agg(F.max(F.when(F.col("p") == 1, F.col("brand"))).alias("p1"), F.collect_set("brand").alias("pb"))
+    prices = r.groupBy(*g, "brand").agg(F.sum(F.exp("y_true")).alias("s"), F.count("*").alias("c"))
+    paid = chosen.select(*g, "brand").join(prices, [*g, "brand"]).groupBy(*g).agg((F.sum("s") / F.sum("c")).alias("pm"))
+    one = sizes.join(true, g).join(pred, g).join(paid, g)
+    one = checkpointed(one.select((F.col("t1") == F.col("p1")).cast("int").alias("hit"), (F.size(F.array_intersect("tb", "pb")) / F.least(F.lit(k), F.col("n"))).alias("shared"), (F.abs(F.col("pm") - F.col("tm")) / F.col("tm")).alias("error")))
+    means = one.agg((F.avg("hit") * 100).alias("cheapest_hit"), (F.avg("shared") * 100).alias(f"top{k}_overlap"), F.count("*").alias("n_groups"))
+    return with_quantiles(means, one, [], {f"top{k}_price_err": median(F.col("error") * 100)}, written=False)
 
 
 def residual_profile(scored: DataFrame, *, holdout_weeks: int) -> DataFrame:
@@ -241,11 +251,13 @@ def residual_profile(scored: DataFrame, *, holdout_weeks: int) -> DataFrame:
 
 def brand_levels(residuals: DataFrame) -> DataFrame:
     """(brand, week, level, weight): weighted mean residuals centred by brand, and the market's as brand MARKET. ``residuals``: brand, week, resid, weight."""
-    centred = residuals.withColumn("resid", F.col("resid") - F.avg("resid").over(Window.partitionBy("brand")))
-    level = (F.sum(F.col("weight") * F.col("resid")) / F.sum("weight")).alias("level")
-    own = centred.groupBy("brand", "week").agg(level, F.sum("weight").alias("weight"))
-    market = centred.groupBy("week").agg(level, F.sum("weight").alias("weight")).select(F.lit("MARKET").alias("brand"), "week", "level", "weight")
-    return own.unionByName(market)
+    # centring commutes with the sums, so everything past the first aggregate is a row a brand and week
+    w, r = F.col("weight"), F.col("resid")
+    cell = residuals.groupBy("brand", "week").agg(F.sum(w * r).alias("wr"), F.sum(w).alias("weight"), F.sum(r).alias("r"), F.count(r).alias("n"))
+    own = Window.partitionBy("brand")
+    cell = cell.withColumn("wr", F.col("wr") - F.col("weight") * F.sum("r").over(own) / F.sum("n").over(own))
+    market = cell.groupBy("week").agg(F.sum("wr").alias("wr"), F.sum("weight").alias("weight")).select(F.lit("MARKET").alias("brand"), "week", "wr", "weight")
+    return cell.select("brand", "week", "wr", "weight").unionByName(market).select("brand", "week", (F.col("wr") / F.col("weight")).alias("level"), "weight")
 
 
 def trend(levels: DataFrame, *, trend_weight: float = 0.25, credibility: float = 4.0, anchor_weeks: int = 4) -> DataFrame:

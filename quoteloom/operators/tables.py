@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoteloom.operators.quantiles import mean_ranks, median, with_quantiles
+from quoteloom.session import checkpointed
+
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n_rows, n_null, n_unique, least, most) of each column, in one aggregation turned upright.
@@ -69,13 +72,18 @@ def melt_wide(df: DataFrame, keep: list[str], brands: list[str], *, blank: str =
 
 
 def percentile_rank(df: DataFrame, value: str, name: str = "pct_rank") -> DataFrame:
-    """Rank over count, ties at their mean rank, nulls null. Ranks come from value counts, so no window holds all rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)  # over distinct values only
-    ranked = counts.withColumn("_r", (F.sum("_n").over(w) - (F.col("_n") - 1) / 2) / F.sum("_n").over(Window.partitionBy(F.lit(0)))).select(F.col(value).alias("_v"), "_r")
+    """Rank over count, ties at their mean rank, nulls null. Ranks come from value counts in ranges, so no window holds all rows."""
+    ranked = mean_ranks(df, value).select(F.col("value").alias("_v"), (F.col("rank") / F.col("total")).alias("_r"))
     return df.join(ranked, F.col(value) == F.col("_v"), "left").withColumn(name, F.col("_r")).drop("_v", "_r")
 
 
+def top_per(df: DataFrame, group: list[str], order: list[str], n: int, rank: str, *, subgroups: int = 16) -> DataFrame:
+    """Rows of rank 1 to ``n`` in their group, ranked within hashed subgroups first, so that no task holds a hot group. ``order`` breaks all ties."""
+    salted = df.withColumn("salt_", F.pmod(F.xxhash64(*order), F.lit(subgroups)))
+    first = salted.withColumn(rank, F.row_number().over(Window.partitionBy(*group, "salt_").orderBy(*order))).where(F.col(rank) <= n).drop("salt_")
+    return first.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
+
+
 def coverage(expected: DataFrame, rows: DataFrame, cell: list[str], channel: str = "channel") -> DataFrame:
     """Per cell of an expected grid: rows quoted and declined, and the channels not seen."""
     seen = rows.groupBy(*cell).agg(F.count_if("quoted").alias("n_quoted"), F.count_if(~F.col("quoted")).alias("n_declined"), F.collect_set(channel).alias("_seen"))
@@ -114,8 +122,13 @@ def audit(quotes: DataFrame, *, declines_included: bool | None = None, truncated
     overlap of the first and last date's risks; the findings are drawn from that single row.
     """
     q = quotes.select("risk_id", "brand", "channel", "collected_on", F.coalesce("quoted", F.lit(False)).alias("quoted"), F.when(~F.isnan("premium"), F.col("premium")).alias("premium"))
-    rows = q.agg(F.count("*").alias("n"), F.count_if(~F.col("quoted")).alias("n_declined"), F.median("premium").alias("median_premium"), F.count_if(F.col("brand").isNull()).alias("n_unmapped"), F.min("collected_on").alias("first_on"), F.max("collected_on").alias("last_on"))
-    sizes = q.groupBy("risk_id", "collected_on", "channel").agg(F.count("*").alias("size")).agg(F.count("*").alias("n_groups"), F.min("size").alias("size_min"), F.max("size").alias("size_max"), F.median("size").alias("size_median"))
+    rows = q.agg(F.count("*").alias("n"), F.count_if(~F.col("quoted")).alias("n_declined"), F.count_if(F.col("brand").isNull()).alias("n_unmapped"), F.min("collected_on").alias("first_on"), F.max("collected_on").alias("last_on"))
+    rows = with_quantiles(rows, q, [], {"median_premium": median(F.col("premium"))}, written=False)
+    size = checkpointed(q.groupBy("risk_id", "collected_on", "channel").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("times")))  # how often each size occurs
+    upto = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)  # a row a size that occurs
+    middle = size.withColumn("upto", F.sum("times").over(upto)).withColumn("all", F.sum("times").over(Window.partitionBy(F.lit(0))))
+    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("size")))
+    sizes = middle.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n_groups"), F.min("size").alias("size_min"), F.max("size").alias("size_max"), ((at(F.floor((F.col("all") + 1) / 2)) + at(F.floor((F.col("all") + 2) / 2))) / 2).alias("size_median"))
     dup = duplicate_count(q, ["risk_id", "brand", "channel", "collected_on"])
     ends = q.select("risk_id", "collected_on").join(F.broadcast(rows), (F.col("collected_on") == F.col("first_on")) | (F.col("collected_on") == F.col("last_on")))  # one row
     per = ends.groupBy("risk_id").agg(F.bool_or(F.col("collected_on") == F.col("first_on")).alias("a"), F.bool_or(F.col("collected_on") == F.col("last_on")).alias("b"))

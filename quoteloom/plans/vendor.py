@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quoteloom.functions import scalars as S
 from quoteloom.operators import tables as T
+from quoteloom.operators.quantiles import exact_quantiles, median
 from quoteloom.session import table
 from quoteloom.streaming.feeds import windowed_levels
 
@@ -128,7 +129,8 @@ def quote_problems(spark, d):
 def brand_channel_pivot(spark, d):
     """Median price by brand and channel, a column a channel."""
     q = table(spark, d, "quotes").where("quoted and premium > 0 and not isnan(premium) and brand is not null")
-    return q.groupBy("brand").pivot("channel", ["direct", "pcw_ctm", "pcw_msm", "pcw_confused", "pcw_gocompare"]).agg(F.median("premium"))
+    medians = exact_quantiles(q, ["brand", "channel"], {"premium": median(F.col("premium"))}, written=False)
+    return medians.groupBy("brand").pivot("channel", ["direct", "pcw_ctm", "pcw_msm", "pcw_confused", "pcw_gocompare"]).agg(F.first("premium"))
 
 
 def channel_unpivot(spark, d):
