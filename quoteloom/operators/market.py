@@ -163,15 +163,23 @@ def simulate_market(predictions: DataFrame, *, k: int = 5, n_sims: int = 400, se
     g = [*group]
     best = predictions.groupBy(*g, "brand").agg(F.min(F.struct("premium", "channel", "p_quote")).alias("b")).select(*g, "brand", "b.premium", "b.p_quote")
     panel = best.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("premium", "brand", "p_quote"))).alias("panel"))
-    draws = panel.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
-    live = F.filter("panel", lambda s: hash_uniform(F.lit(seed), *[F.col(c) for c in g], s["brand"], F.col("sim")) < s["p_quote"])
-    drawn = draws.select(*g, F.size("panel").alias("n_on_panel"), live.alias("live"))
-    prices = F.transform(F.slice("live", 1, k), lambda s: s["premium"])
-    some = F.size("live") > 0
-    drawn = drawn.select(*g, "n_on_panel", F.size("live").alias("n"), F.when(some, _mean(prices)).alias("top"), F.when(some, F.col("live")[0]["premium"]).alias("cheapest"), F.when(some, F.col("live")[0]["brand"]).alias("winner"))
-    sums = drawn.groupBy(*g).agg(F.max("n_on_panel").alias("n_on_panel"), F.avg("top").alias(f"top{k}_mean"), F.percentile("top", 0.1).alias(f"top{k}_p10"), F.percentile("top", 0.9).alias(f"top{k}_p90"), F.avg("cheapest").alias("cheapest_mean"), F.avg("n").alias("n_quoting_mean"))
-    wins = drawn.where("winner is not null").groupBy(*g, "winner").agg(F.count("*").alias("n")).groupBy(*g).agg(F.min(F.struct((-F.col("n")).alias("n"), "winner")).alias("w"))
-    return sums.join(wins, g, "left").select(*sums.columns, F.col("w.winner").alias("modal_winner"), F.coalesce(-F.col("w.n") / n_sims * 100, F.lit(0.0)).alias("modal_winner_share"))
+    live = lambda sim: F.filter("panel", lambda s: hash_uniform(F.lit(seed), *[F.col(c) for c in g], s["brand"], sim) < s["p_quote"])
+    # all draws of a group stay in its row: no copy of the panel a draw, and no further shuffle
+    drawn = panel.select(*g, F.size("panel").alias("n_on_panel"), F.transform(F.transform(F.sequence(F.lit(0), F.lit(n_sims - 1)), live), lambda a: F.struct(
+        F.size(a).alias("n"), F.when(F.size(a) > 0, _mean(F.transform(F.slice(a, 1, k), lambda s: s["premium"]))).alias("top"), F.try_element_at(a, F.lit(1))["premium"].alias("cheapest"), F.try_element_at(a, F.lit(1))["brand"].alias("winner"),
+    )).alias("draws"))
+    some = F.filter("draws", lambda x: x["n"] > 0)
+    drawn = drawn.select(*g, "n_on_panel", F.sort_array(F.transform(some, lambda x: x["top"])).alias("tops"), F.transform(some, lambda x: x["cheapest"]).alias("firsts"), F.transform(some, lambda x: x["winner"]).alias("winners"), F.aggregate("draws", F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("quoting"))
+
+    def at(p: float) -> Column:
+        place = F.lit(p) * (F.size("tops") - 1)
+        low, high = F.element_at("tops", F.floor(place).cast("int") + 1), F.element_at("tops", F.ceil(place).cast("int") + 1)
+        return F.when(F.size("tops") > 0, low + (place - F.floor(place)) * (high - low))
+
+    modal = F.array_min(F.transform(F.array_distinct("winners"), lambda w: F.struct((-F.size(F.filter("winners", lambda x: x == w))).alias("n"), w.alias("winner"))))
+    mean = lambda c: F.when(F.size(c) > 0, _mean(F.col(c)))
+    out = drawn.select(*g, "n_on_panel", mean("tops").alias(f"top{k}_mean"), at(0.1).alias(f"top{k}_p10"), at(0.9).alias(f"top{k}_p90"), mean("firsts").alias("cheapest_mean"), (F.col("quoting") / n_sims).alias("n_quoting_mean"), modal.alias("m"))
+    return out.select(*[c for c in out.columns if c != "m"], F.col("m.winner").alias("modal_winner"), F.coalesce(-F.col("m.n") / n_sims * 100, F.lit(0.0)).alias("modal_winner_share"))
 
 
 def expected_cheapest(predictions: DataFrame, *, group: tuple[str, ...] = ("risk_id", "period")) -> DataFrame:
