@@ -10,17 +10,21 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoteloom.session import checkpointed
+
 UNMATCHED = "UNMATCHED"
 #: The reference is broadcast whole; a longer one is an error, not a slower plan.
 MAX_REFERENCE = 20_000
+#: The distinct free values' results, in bytes, up to which they are broadcast to their rows.
+MAX_DISTINCT_BYTES = 64 * 1024 * 1024
 
 #: Digits and signs written for letters, and letters that sound alike.
 LOOKALIKE = {"0": "o", "1": "l", "3": "e", "5": "s", "4": "a", "@": "a", "$": "s", "!": "i", "7": "t", "8": "b"}
@@ -117,6 +121,7 @@ class Dictionary:
                 self.index.setdefault("~" + d, set()).add((name, "~" + sound(base.replace(" ", ""))))
             self.skeletons.setdefault(skeleton(base), set()).add(name)
         self.longest = max(map(len, self.exact), default=0)
+        self.sorted = sorted((p, n) for n, p in self.plain.items())
 
     def rank(self, found: dict[str, float]) -> tuple[str, float] | None:
         """The nearest name; of equals the more frequent, then the first by code point."""
@@ -147,8 +152,12 @@ class Dictionary:
         t = text.replace(" ", "")
         if len(t) < 5:
             return None
-        hits = {n for n, p in self.plain.items() if p.startswith(text) and len(p) > len(text)}
-        return next(iter(hits)) if len(hits) == 1 else None
+        k = bisect_left(self.sorted, (text, ""))
+        while k < len(self.sorted) and self.sorted[k][0] == text:
+            k += 1
+        here = self.sorted[k : k + 2]
+        hits = [n for p, n in here if p.startswith(text)]
+        return hits[0] if len(hits) == 1 else None
 
 
 def edit_bound(text: str) -> float:
@@ -204,83 +213,128 @@ def brand_mapper(names: list[str], aliases: dict[tuple[str, str], str], frequenc
     return mapped
 
 
-# The words that decide a property's type, in the order in which they decide.
-TYPE_WORDS: list[tuple[str, list[str]]] = [
-    ("bungalow", ["bungalow"]),
-    ("flat", ["flat", "apartment", "maisonette", "studio", "penthouse", "bedsit"]),
-    ("semi_detached", ["semi"]),
-    ("end_terrace", ["end"]),
-    ("terraced", ["terrace", "terraced", "mid"]),
-    ("detached", ["detached", "standalone", "stand"]),
-]
-
-
-def type_mapper(wordings: dict[str, str], frequency: dict[str, int]) -> Callable[[str, str], str]:
-    """Mapper of free property wordings. ``wordings``: known wording -> type."""
-    book = Dictionary([*wordings], None)
-    words = Dictionary(["bungalow", "flat", "apartment", "maisonette", "studio", "semi", "terrace", "terraced", "detached", "standalone", "stand", "end", "mid", "house", "dormer", "single", "alone", "purpose", "built", "converted", "park", "static", "caravan", "home", "water", "tower"])
-    kind = {w: t for t, ws in TYPE_WORDS for w in ws}
-    types = set(wordings.values())
-
-    def word(w: str) -> str | None:
-        if w in words.exact:
-            return next(iter(sorted(words.exact[w])))
-        hit = words.near(w, 1.0 if len(w) <= 5 else 2.0) if len(w) >= 3 else None
-        return hit[0] if hit else None
-
-    def split(w: str) -> list[str]:
-        """A word of none, as two known ones written together, or as it stands."""
-        if w in ("ed", "en", "nd"):
-            return ["end"]
-        two = next(([w[:k], w[k:]] for k in range(3, len(w) - 2) if w[:k] in words.exact and w[k:] in words.exact), None)
-        return two or [w]
+#: Wordings of a type that share no word with the reference list.
+OTHER_WORDINGS: dict[str, str] = {"stand alone": "detached", "standalone": "detached"}
+
+
+class Phrases:
+    """Mapper of free wordings by the phrases of a reference list: ``wordings``, known wording -> canonical type.
+
+    A word that can be left out of every wording without changing its type says nothing and is passed over. Every run of up
+    to as many words as a wording has, one more passed over or not, is looked up by symmetric deletion; the match of most words decides, then the nearest,
+    the leftmost and the first in the list's order. A word that begins or ends with a wording of one word matches it.
+    """
+
+    def __init__(self, wordings: dict[str, str]):
+        known: dict[tuple[str, ...], str] = {}
+        for w, kind in sorted(wordings.items()):
+            known.setdefault(tuple(fold(w).split()), kind)
+        words = {x for ws in known for x in ws}
+        drop = lambda ws, x: tuple(y for y in ws if y != x)
+        fillers = sorted(x for x in words if all(known.get(drop(ws, x)) == kind for ws, kind in known.items() if x in ws))
+        self.fillers = Dictionary(fillers)
+        self.types: dict[str, str] = {}
+        self.weight: dict[str, int] = {}
+        for ws, kind in known.items():
+            rest = tuple(x for x in ws if x not in fillers) or ws
+            for form in (" ".join(ws), " ".join(rest)):
+                self.types.setdefault(form, kind)
+                self.weight[form] = len(rest)
+        self.words = words
+        self.book = Dictionary(self.types)
+        self.most_words = max((len(t.split()) for t in self.types), default=0)
+        self.single = sorted((t for t in self.types if " " not in t and len(t) >= 4), key=lambda t: (-len(t), t))
+
+    def filler(self, word: str) -> bool:
+        return word in self.fillers.exact or len(word) >= 4 and self.fillers.near(word, 1.0) is not None and word not in self.book.exact
+
+    def parted(self, word: str) -> str:
+        """A word of the list that a filler of four letters or more is written together with, without it."""
+        for f in self.fillers.plain.values():
+            for rest in (word.removesuffix(f), word.removeprefix(f)):
+                if len(f) >= 4 and rest != word and rest in self.words:
+                    return rest
+        return word
+
+    def whole(self, text: str) -> str | None:
+        all_words = text.split()
+        words = [self.parted(w) for w in all_words if not self.filler(w)]
+        best = None
+        for ws in dict.fromkeys((tuple(words), tuple(all_words))):
+            for k in range(len(ws)):
+                for n in range(min(self.most_words, len(ws) - k), 0, -1):
+                    # runs of n words, and of n + 1 with an inner one passed over
+                    for run, more in [(ws[k : k + n], 0.0), *[(ws[k:x] + ws[x + 1 : k + n + 1], 0.4) for x in range(k + 1, k + n) if k + n < len(ws)]]:
+                        window = " ".join(run)
+                        hit = (min(self.book.exact[window]), 0.0) if window in self.book.exact else self.book.near(window, max(edit_bound(window), 1.0 if len(window) >= 3 else 0.0))
+                        if hit:
+                            rank = (-self.weight[hit[0]], hit[1] + more, k, hit[0])
+                            if best is None or rank < best:
+                                best = rank
+        if best:
+            return self.types[best[-1]]
+        for w in words:
+            for t in self.single:
+                if len(w) > len(t) and (w.startswith(t) or w.endswith(t)):
+                    return self.types[t]
+        return None
+
+
+def type_mapper(wordings: dict[str, str]) -> Callable[[str, str], str]:
+    """Mapper of free property wordings; what stands in brackets is passed over where something stands outside."""
+    phrases = Phrases(OTHER_WORDINGS | wordings)
 
     def mapped(_spec: str, text: str) -> str:
-        t = unlook(fold(re.sub(r"\([^)]*\)", " ", text)))
-        if t in book.exact:
-            return wordings[min(book.exact[t])]
-        read = [x for w in t.split() for x in (split(w) if word(w) is None else [word(w)])]
-        if "park" in read or "static" in read or "caravan" in read or "tower" in read:
-            return UNMATCHED
-        # "end" decides only beside a terrace
-        found = [kind[w] for w in read if w in kind and (w != "end" or {"terrace", "terraced"} & set(read))]
-        for name, _ in TYPE_WORDS:
-            if name in found and name in types:
-                return name
-        hit = book.near(t, edit_bound(t))
-        return wordings[hit[0]] if hit else UNMATCHED
+        bare = re.sub(r"\([^)]*\)", " ", text)
+        return phrases.whole(unlook(fold(bare if bare.strip() else text))) or UNMATCHED
 
     return mapped
 
 
-def map_values(quotes: DataFrame, providers: DataFrame, aliases: DataFrame, types: DataFrame) -> DataFrame:
-    """(vq_id, field_id, mapped_to) for every non-null brand_text and property_text that is not exactly a canonical name.
+def mapped_values(quotes: DataFrame, providers: DataFrame, aliases: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((vq_id, spec, field_id, text) of every value that is no canonical name, (spec, field_id, text, n, mapped_to) of the distinct ones).
 
-    Short names hold within their spec only. Texts of blanks alone come out as UNMATCHED. Null texts give no
-    row, repeated rows repeat. Ties go to the entry that is exact more often in the data, then to the first by
-    code point. A reference of over 20,000 entries is an error.
+    Each distinct value is mapped once, and the table of them written once. ``spec`` is empty where it has no part in the
+    mapping.
     """
-    names = [r.brand for r in providers.select("brand").distinct().limit(MAX_REFERENCE + 1).collect()]
+    spark = quotes.sparkSession
+    names = [r.brand for r in providers.select("brand").where("brand is not null").distinct().limit(MAX_REFERENCE + 1).collect()]
     short = {(r.spec_name, r.alias_text): r.brand for r in aliases.select("spec_name", "alias_text", "brand").limit(MAX_REFERENCE + 1).collect()}
     wordings = {r.wording: r.building_type for r in types.select("building_type", "wording").limit(MAX_REFERENCE + 1).collect()}
     if max(len(names), len(short), len(wordings)) > MAX_REFERENCE:
         raise ValueError("the reference list is too long to broadcast")
     canonical = sorted(set(wordings.values()))
-    wordings = wordings | {c: c for c in canonical}
-    q = quotes.select("vq_id", "spec_name", F.explode(F.array(
+    wordings = {c: c for c in canonical} | wordings
+    q = quotes.select("vq_id", F.coalesce("spec_name", F.lit("")).alias("spec"), F.explode(F.array(
         F.struct(F.lit("brand").alias("field_id"), F.col("brand_text").alias("text")),
         F.struct(F.lit("building_type").alias("field_id"), F.col("property_text").alias("text")),
-    )).alias("v")).select("vq_id", "spec_name", "v.field_id", "v.text").where("text is not null")
-    is_name = ((F.col("field_id") == "brand") & F.col("text").isin(names)) | ((F.col("field_id") == "building_type") & F.col("text").isin(canonical))
-    counts = {r.text: r.n for r in q.where(is_name).groupBy("text").agg(F.count("*").alias("n")).collect()}  # at most a row a canonical name
-    sent = q.sparkSession.sparkContext.broadcast((names, short, wordings, counts))
+    )).alias("v")).select("vq_id", F.when(F.col("v.field_id") == "brand", F.col("spec")).otherwise("").alias("spec"), "v.field_id", "v.text").where("text is not null")
+    exact = spark.createDataFrame([("brand", n) for n in names] + [("building_type", c) for c in canonical], "field_id string, text string").withColumn("canonical", F.lit(True))
+    marked = q.join(F.broadcast(exact), ["field_id", "text"], "left")  # twice MAX_REFERENCE rows at most
+    counts = {r.text: r.n for r in marked.where("canonical").groupBy("text").agg(F.count("*").alias("n")).collect()}  # at most a row a canonical name
+    free = marked.where("canonical is null").select("vq_id", "spec", "field_id", "text")
+    sent = spark.sparkContext.broadcast((names, short, wordings, counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names_, short_, wordings_, counts_ = sent.value
-        by_field = {"brand": brand_mapper(names_, short_, counts_), "building_type": type_mapper(wordings_, counts_)}
-        cached = {f: lru_cache(maxsize=200_000)(m) for f, m in by_field.items()}
+        by_field = {"brand": brand_mapper(names_, short_, counts_), "building_type": type_mapper(wordings_)}
         for pdf in batches:
-            yield pd.DataFrame({"vq_id": pdf["vq_id"], "field_id": pdf["field_id"], "mapped_to": [cached[f](s, t) for s, f, t in zip(pdf["spec_name"], pdf["field_id"], pdf["text"])]})
+            yield pdf.assign(mapped_to=[by_field[f](s, t) for s, f, t in zip(pdf["spec"], pdf["field_id"], pdf["text"])])
+
+    parts = 3 * spark.sparkContext.defaultParallelism
+    distinct = free.groupBy("spec", "field_id", "text").agg(F.count("*").alias("n")).repartition(parts, "text")
+    return free, checkpointed(distinct.mapInPandas(run, "spec string, field_id string, text string, n long, mapped_to string"))
+
+
+def map_values(quotes: DataFrame, providers: DataFrame, aliases: DataFrame, types: DataFrame, *, max_bytes: int = MAX_DISTINCT_BYTES) -> DataFrame:
+    """(vq_id, field_id, mapped_to) for every non-null brand_text and property_text that is not exactly a canonical name.
 
-    kind = quotes.schema["vq_id"].dataType.simpleString()
-    return q.where(~is_name).mapInPandas(run, f"vq_id {kind}, field_id string, mapped_to string")
+    Short names hold within their spec only. Texts of blanks alone come out as UNMATCHED. Null texts give no
+    row, repeated rows repeat. Ties go to the entry that is exact more often in the data, then to the first by
+    code point. A reference of over 20,000 entries is an error. The distinct values' results are broadcast to the rows
+    where they come to at most ``max_bytes``, and joined by a shuffle beyond.
+    """
+    free, mapped = mapped_values(quotes, providers, aliases, types)
+    size = mapped.agg(F.sum(F.length("text") * 2 + 120)).first()[0] or 0
+    found = mapped.select("spec", "field_id", "text", "mapped_to")
+    return free.join(F.broadcast(found) if size <= max_bytes else found, ["spec", "field_id", "text"]).select("vq_id", "field_id", "mapped_to")

@@ -13,20 +13,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.cheapest_brands(table(spark, d, "quotes")).select("risk_id", "rank_no", "quote_id")
 
 
-def _mapped(spark: SparkSession, d: str) -> DataFrame:
-    return mapping.map_values(*(table(spark, d, n) for n in ("vendor_quotes", "providers", "brand_aliases", "building_types")))
+def _sides(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, n) for n in ("vendor_quotes", "providers", "brand_aliases", "building_types")]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mapped(spark, d)
+    return mapping.map_values(*_sides(spark, d))
 
 
 def p3_misses(spark: SparkSession, d: str) -> DataFrame:
     """What no entry was found for, with how often it stands."""
-    texts = table(spark, d, "vendor_quotes").select("vq_id", "brand_text", "property_text")
-    text = F.when(F.col("field_id") == "brand", F.col("brand_text")).otherwise(F.col("property_text"))
-    missed = _mapped(spark, d).where(F.col("mapped_to") == mapping.UNMATCHED)
-    return missed.join(texts, "vq_id").groupBy("field_id", text.alias("text")).agg(F.count("*").alias("n"))
+    missed = mapping.mapped_values(*_sides(spark, d))[1].where(F.col("mapped_to") == mapping.UNMATCHED)
+    return missed.groupBy("field_id", "text").agg(F.sum("n").alias("n"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
