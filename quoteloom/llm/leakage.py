@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +38,6 @@ _LINE_MARK = re.compile(r"^[ \t]*(?:\d{1,4}[ \t]*[|:)]|[>*•\-–]+)[ \t]+", re
 _TAG = re.compile(r"<[^<>\n]{1,80}>|&(?:nbsp|amp|quot|pound|#\d+);")
 
 
-@lru_cache(maxsize=400_000)
 def plain_token(token: str) -> str:
     """A token without case, accents, look-alike letters, joining marks and group signs in numbers."""
     if token.isascii() and token.isalnum():
@@ -46,13 +46,36 @@ def plain_token(token: str) -> str:
     return "".join(c for c in t if c.isalnum())
 
 
-def tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """Plain tokens of a text and where each stands. Line numbers, bullets, quote marks and tags are passed over."""
+class _Plain(dict):
+    """Plain tokens by their spelling, kept up to a bound; a text's words come out of it without a call each."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 1_000_000:
+            self.clear()
+        t = self[token] = plain_token(token)
+        return t
+
+
+_PLAIN = _Plain()
+
+
+def _unmarked(text: str) -> str:
     for pattern in (_LINE_MARK, _TAG):
         text = pattern.sub(lambda m: " " * (m.end() - m.start()), text)
+    return text
+
+
+def token_list(text: str) -> list[str]:
+    """The plain tokens of ``tokens`` without their places."""
+    out = list(map(_PLAIN.__getitem__, _TOKEN.findall(_unmarked(text))))
+    return out if all(out) else [t for t in out if t]
+
+
+def tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """Plain tokens of a text and where each stands. Line numbers, bullets, quote marks and tags are passed over."""
     out, at = [], []
-    for m in _TOKEN.finditer(text):
-        t = plain_token(m.group())
+    for m in _TOKEN.finditer(_unmarked(text)):
+        t = _PLAIN[m.group()]
         if t:
             out.append(t)
             at.append(m.span())
@@ -65,24 +88,28 @@ def word_weights(text: str) -> tuple[list[str], list[float]]:
     for word in text.split():
         got = tokens(word)[0]
         out += got
-        weights += [1 / len(got)] * len(got)
+        weights += [1 / max(1, len(got))] * len(got)
     return out, weights
 
 
+@lru_cache(maxsize=1_000_000)
 def alike(a: str, b: str) -> bool:
     """The same token, or one slip apart in words of four letters or more (two from eight on)."""
     if a == b:
         return True
     n, m = len(a), len(b)
-    if min(n, m) < 4 or a.isdigit() or b.isdigit() or abs(n - m) > 2:
+    least = n if n < m else m
+    most = 1 if least < 8 else 2
+    if least < 4 or n - m > most or m - n > most or a.isdigit() or b.isdigit() or len(set(a) & set(b)) < least - most - (least - len(set(a if n < m else b))):
         return False
-    most = 1 if min(n, m) < 8 else 2
     prev = list(range(m + 1))
     for i in range(1, n + 1):
         row = [i] + [0] * m
         for j in range(1, m + 1):
             row[j] = min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (a[i - 1] != b[j - 1]))
         prev = row
+        if min(row) > most:
+            return False
     return prev[m] <= most
 
 
@@ -191,11 +218,16 @@ class Items:
         self.weights: dict[int, list[float]] = {}
         self.total: dict[int, float] = {}
         self.places: dict[int, dict[tuple, list[int]]] = {}
+        #: Items too short for two n-grams, by their words: they are repeated whole or not at all.
+        self.short: dict[tuple, list[int]] = defaultdict(list)
         different = {}
         for item_id, text in rows:
             words, weights = word_weights(text or "")
             if not words:
                 continue
+            if len(words) <= n:
+                self.short[tuple(words)].append(item_id)
+                continue
             self.words[item_id], self.weights[item_id], self.total[item_id] = words, weights, sum(weights)
             places = self.places[item_id] = defaultdict(list)
             for i in range(len(words) - n + 1):
@@ -211,19 +243,29 @@ class Items:
             for g in rare if len(rare) >= 3 else places:  # an item of phrasing alone is known by that
                 self.suspect[g].append(item_id)
         self.suspect = dict(self.suspect)
+        self.short_lengths = sorted({len(ws) for ws in self.short})
 
     def scan(self, text: str, share: float) -> list[tuple[int, float, list[tuple[int, int]]]]:
         """(item, share of its words, character spans of all its stretches) of the items that the text repeats."""
-        doc, at = tokens(text)
-        if len(doc) < self.n:
-            return []
+        doc = token_list(text)
         windows = list(zip(*(doc[k:] for k in range(self.n))))
         suspect = self.suspect
         seen: dict[int, int] = Counter()
         for g in suspect.keys() & set(windows):
             for item_id in suspect[g]:
                 seen[item_id] += 1
+        at: list[tuple[int, int]] = []
         out = []
+        for size in self.short_lengths:
+            for j, g in enumerate(zip(*(doc[k:] for k in range(size)))):
+                if g in self.short:
+                    at = at or tokens(text)[1]
+                    out += [(item_id, 1.0, [(at[j][0], at[j + size - 1][1])]) for item_id in self.short[g]]
+        if self.short_lengths:  # a row an item, with the spans of all its copies
+            whole: dict[int, list[tuple[int, int]]] = {}
+            for item_id, _, spans in out:
+                whole.setdefault(item_id, []).extend(spans)
+            out = [(item_id, 1.0, spans) for item_id, spans in whole.items()]
         for item_id, times in seen.items():
             if times < 2:
                 continue
@@ -234,25 +276,41 @@ class Items:
             found = stretches(self.words[item_id], self.weights[item_id], self.own[item_id], doc, hits, self.n)
             w = best_two(found, len(self.words[item_id]))
             if w >= share * total - 1e-9:
+                at = at or tokens(text)[1]
                 out.append((item_id, w / total, [(at[a][0], at[min(b, len(at)) - 1][1]) for *_, a, b in found]))
         return out
 
 
+_BUILT: dict[str, Items] = {}
+
+
+def _built(key: str, rows: list[tuple[int, str]]) -> Items:
+    """The items, built once a worker process and table of items."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Items(rows)
+    return _BUILT[key]
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, *, share: float = 0.4) -> DataFrame:
     """(doc_id, item_id, share, spans): documents that repeat at least ``share`` of an item's words.
 
     In the item's order, in one stretch or two, some changed words aside; case, accents, look-alike letters,
-    punctuation, line numbers and breaks don't count. Null and empty texts repeat nothing; items without words
-    are repeated by nothing. A document gives one row per item. Items of over 5 million tokens in all are an
-    error: they would no longer be broadcast.
+    punctuation, line numbers and breaks don't count. An item of three words or fewer is repeated only whole. Null and
+    empty texts repeat nothing; items without words are repeated by nothing. A document gives one row per item. Items
+    of over 5 million tokens in all, counted before they are fetched, are an error: they would no longer be broadcast.
     """
-    rows = [(r.item_id, r.item_text) for r in items.select("item_id", "item_text").where("item_text is not null").toLocalIterator()]
-    if sum(len(t) for _, t in rows) > 5 * MAX_ITEM_TOKENS:
+    texts = items.select("item_id", "item_text").where("item_text is not null")
+    blanks = F.size(F.split(F.trim("item_text"), r"\s+"))
+    total = texts.agg(F.sum(F.greatest(blanks, F.length("item_text") / 16))).first()[0] or 0  # words, and runs without blanks by their length
+    if total > MAX_ITEM_TOKENS:
         raise ValueError("the evaluation items are too many to broadcast")
+    rows = [(r.item_id, r.item_text) for r in texts.collect()]
     sent = documents.sparkSession.sparkContext.broadcast(rows)
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Items(sent.value)
+        known = _built(key, sent.value)
         for pdf in batches:
             out = [(d, i, s, [{"start": a, "stop": b} for a, b in spans]) for d, t in zip(pdf["doc_id"], pdf["text"]) if t for i, s, spans in known.scan(t, share)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "share", "spans"])

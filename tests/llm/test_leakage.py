@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quoteloom.llm import leakage as k
 
 WORDS = "amber bishop candle dolphin ember falcon garnet harbour island jasper kettle lantern magnet nectar orchid pepper quartz ribbon saffron timber umbrella velvet walnut yellow zephyr anchor barley copper dragon engine".split()
@@ -91,3 +93,17 @@ def test_every_copy_is_removed(spark):
     d = spark.createDataFrame([(1, " ".join(copies))], "doc_id long, text string")
     clean = k.without_leaks(d, k.find_leaks(d, spark.createDataFrame(ITEMS, "item_id long, item_text string"))).first().text
     assert not set(clean.split()) & set(ITEMS[8][1].split()) and clean.split() == (FILLER * 5).split()
+
+
+def test_short_items_are_found_whole():
+    known = k.Items([(1, "four five six"), (2, "Zephyr"), (3, "two words"), (4, "..."), *((10 + i, t) for i, t in ITEMS)])
+    got = {i: spans for i, s, spans in known.scan("say Four, five SIX and zephyr; then two more words. four five six", 0.4)}
+    assert set(got) == {1, 2} and got[1] == [(4, 18), (52, 65)]
+    assert known.scan("six five four", 0.4) == [] and known.scan("six", 0.4) == [] and known.scan("", 0.4) == []
+
+
+def test_too_many_items_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(k, "MAX_ITEM_TOKENS", 10)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        k.find_leaks(docs, spark.createDataFrame([(1, "w " * 11)], "item_id long, item_text string"))
