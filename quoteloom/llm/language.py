@@ -62,9 +62,9 @@ CHUNK = 8_000
 LEAST_COSINE, LEAST_LEAD = 0.06, 0.01
 
 _END = re.compile(r"(?<=[.!?;:])\s+|\n+")
-_CODE = re.compile(r"[^\s\d]*\d\S*")
+_CODE = re.compile(r"(?<!\S)[^\s\d]*+\d\S*")
 _DIGIT = re.compile(r"\d")
-_OTHER = re.compile(r"[^\w'·]+|_")
+_OTHER = re.compile(r"[^\w'· \n][^\w'·\n]*|_")
 _LINE = re.compile(r"\r\n|\n|\r")
 _VISIBLE = re.compile(r"[^\s\u0000-\u001f\u007f- ­ ᠎ -‏ -  -⁯⠀　ㅤ﻿]")
 
@@ -89,14 +89,13 @@ def paragraphs(text: str) -> list[str]:
 
 def segments(paragraph: str) -> list[str]:
     """Normalised sentences: lower case, words with digits and signs left out; none where no letters remain."""
-    out = []
-    for s in _END.split(paragraph):
-        for k in range(0, len(s), SEGMENT):
-            t = s[k : k + SEGMENT].lower()
-            t = " ".join(_OTHER.sub(" ", _CODE.sub(" ", t) if _DIGIT.search(t) else t).split())
-            if t:
-                out.append(t)
-    return out
+    parts = _END.split(paragraph)
+    if len(paragraph) > SEGMENT:
+        parts = [s[k : k + SEGMENT] for s in parts for k in range(0, len(s), SEGMENT)]
+    # one sentence a line, so that each pattern runs once over them all
+    t = "\n".join(parts).lower()
+    t = _OTHER.sub(" ", _CODE.sub(" ", t) if _DIGIT.search(t) else t)
+    return [x for x in (" ".join(s.split()) for s in t.split("\n")) if x]
 
 
 def unaccented(text: str) -> str:
@@ -129,9 +128,10 @@ class Model:
     """Centroids (bucket x centroid), the language of each, and the inverse document frequencies."""
 
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, language: np.ndarray):
-        self.idf, self.language = idf.astype(np.float32), language
-        self.centroids = np.ascontiguousarray(centroids, dtype=np.float32)  # a bucket's values side by side
-        self.present = np.unique(language)
+        order = np.argsort(language, kind="stable")  # a language's centroids side by side
+        self.idf, self.language = idf.astype(np.float32), language[order]
+        self.centroids = np.ascontiguousarray(centroids[:, order], dtype=np.float32)  # a bucket's values side by side
+        self.present, self.first = np.unique(self.language, return_index=True)
 
     def cosines(self, texts: list[str]) -> np.ndarray:
         """(texts x languages of CODES): the cosine to the nearest centroid of each language; -1 without any."""
@@ -147,13 +147,12 @@ class Model:
                 w = count * self.idf[bucket]
                 first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
                 rows = self.centroids[bucket]
-                rows *= w[:, None]
-                dots = np.add.reduceat(rows, first, axis=0)
+                dots = np.empty((len(first), rows.shape[1]), dtype=np.float32)
+                for k, (a, b) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(seg)])):
+                    np.dot(w[a:b], rows[a:b], out=dots[k])
                 norm = np.sqrt(np.add.reduceat(w * w, first))
                 cos = dots / np.maximum(norm, 1e-9)[:, None]
-                at = start + seg[first]
-                for k in self.present:
-                    out[at, k] = cos[:, self.language == k].max(axis=1)
+                out[np.ix_(start + seg[first], self.present)] = np.maximum.reduceat(cos, self.first, axis=1)
             start = stop
         return out
 
@@ -271,27 +270,30 @@ def detect(documents: DataFrame, model: Model, *, columns: list[str] | None = No
                     np.add.at(leads, (at[ok], best[ok]), (size * lead)[ok])
                 size_of = np.zeros(len(paras))
                 np.add.at(size_of, np.array(place, dtype=int), size)
-                out = []
-                by_doc = np.zeros((len(rows), len(CODES)))
-                lead_doc = np.zeros((len(rows), len(CODES)))
-                total_doc = np.zeros(len(rows))
-                for k, (d, p) in enumerate(paras):
-                    total_doc[d] += size_of[k]
-                    if votes[k].sum() > 0:
-                        b = int(votes[k].argmax())
-                        by_doc[d, b] += size_of[k]
-                        lead_doc[d, b] += leads[k, b]
-                        out.append((d, p, CODES[b], leads[k, b] / size_of[k], int(size_of[k])))
-                    else:
-                        out.append((d, p, NONE, 0.0, int(size_of[k])))
-                for d in range(len(rows)):
-                    b = int(by_doc[d].argmax())
-                    some = by_doc[d, b] > 0
-                    out.append((d, 0, CODES[b] if some else NONE, lead_doc[d, b] / total_doc[d] if some else 0.0, int(total_doc[d])))
-                got = pd.DataFrame(out, columns=["_d", "para_no", "lang", "confidence", "letters"])
-                got["doc_lang"] = [CODES[int(by_doc[d].argmax())] if by_doc[d].max() > 0 else NONE for d in got["_d"]]
-                for c in ["doc_id", *extra]:
-                    got[c] = rows[c].to_numpy()[got["_d"]] if len(got) else pd.Series(dtype=object)
+                # by paragraph, then by document, without a loop over either
+                at_doc, para = np.array([d for d, _ in paras], dtype=np.int64), np.array([p for _, p in paras], dtype=np.int64)
+                best = votes.argmax(axis=1) if len(paras) else np.empty(0, np.int64)
+                voted = votes.sum(axis=1) > 0
+                lead_of = np.where(voted, leads[np.arange(len(paras)), best], 0.0)
+                by_doc, lead_doc, total_doc = np.zeros((len(rows), len(CODES))), np.zeros((len(rows), len(CODES))), np.zeros(len(rows))
+                np.add.at(by_doc, (at_doc[voted], best[voted]), size_of[voted])
+                np.add.at(lead_doc, (at_doc[voted], best[voted]), lead_of[voted])
+                np.add.at(total_doc, at_doc, size_of)
+                top_doc = by_doc.argmax(axis=1)
+                some = by_doc.max(axis=1) > 0
+                names = np.array([*CODES, NONE], dtype=object)
+                doc_lang = names[np.where(some, top_doc, len(CODES))]
+                who = np.concatenate([at_doc, np.arange(len(rows))])
+                got = pd.DataFrame({
+                    "doc_id": rows["doc_id"].to_numpy()[who],
+                    "para_no": np.concatenate([para, np.zeros(len(rows), np.int64)]),
+                    "lang": np.concatenate([names[np.where(voted, best, len(CODES))], doc_lang]),
+                    "doc_lang": doc_lang[who],
+                    "confidence": np.concatenate([lead_of / np.maximum(size_of, 1), np.where(some, lead_doc[np.arange(len(rows)), top_doc] / np.maximum(total_doc, 1), 0.0)]),
+                    "letters": np.concatenate([size_of, total_doc]).astype(np.int64),
+                })
+                for c in extra:
+                    got[c] = rows[c].to_numpy()[who]
                 yield got[["doc_id", "para_no", "lang", "doc_lang", "confidence", "letters", *extra]]
 
     kinds = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in extra)
