@@ -22,6 +22,8 @@ from quoteloom.session import checkpointed
 RUN_ROWS = 500_000
 #: Values still in question at which a group's are ranked instead of split again.
 FEW = 512
+#: Parts of the runs whose proposals are put to a median first.
+PARTS = 32
 
 
 def value_runs(rows: DataFrame, groups: list[str], value: str, *, run_rows: int = RUN_ROWS) -> DataFrame:
@@ -58,6 +60,24 @@ def value_runs(rows: DataFrame, groups: list[str], value: str, *, run_rows: int
     return kept.mapInPandas(runs, f"{kinds}, run_values array<double>, run_counts array<long>")
 
 
+def merged_runs(runs: DataFrame, groups: list[str]) -> DataFrame:
+    """Stored runs of finer groups put together by ``groups``, as far as they lie in one batch: fewer and longer runs of the same values."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, part in pdf.groupby(groups if len(groups) > 1 else groups[0], dropna=False, sort=False):
+                v, n = np.concatenate(part["run_values"].to_list()), np.concatenate(part["run_counts"].to_list())
+                values, place = np.unique(v, return_inverse=True)
+                key = key if isinstance(key, tuple) else (key,)
+                out.append((*[None if pd.isna(k) else k for k in key], values, np.bincount(place, weights=n).astype(np.int64)))
+            if out:
+                yield pd.DataFrame(out, columns=[*groups, "run_values", "run_counts"])
+
+    kinds = ", ".join(f"`{g}` {runs.schema[g].dataType.simpleString()}" for g in groups)
+    return runs.select(*groups, "run_values", "run_counts").mapInPandas(merge, f"{kinds}, run_values array<double>, run_counts array<long>")
+
+
 def _same(a: str, b: str, groups: list[str]) -> list[Column]:
     return [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in groups]
 
@@ -88,10 +108,16 @@ def _at_rank(values: np.ndarray, cum: np.ndarray, rank: np.ndarray) -> np.ndarra
     return values[np.minimum(np.searchsorted(cum, rank, side="right"), len(values) - 1)]
 
 
+def _inside(values: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a run's values between two exclusive bounds; a bound of NaN is none, so that infinities are values like others."""
+    lo = np.where(np.isnan(t["lo"]), 0, np.searchsorted(values, t["lo"], "right"))
+    return lo, np.where(np.isnan(t["hi"]), len(values), np.searchsorted(values, t["hi"], "left"))
+
+
 def _split(values, counts, t):
     cum = np.cumsum(counts)
     upto = lambda i: np.where(i > 0, cum[np.maximum(i, 1) - 1], 0)
-    lo, hi = upto(np.searchsorted(values, t["lo"], "right")), upto(np.searchsorted(values, t["hi"], "left"))
+    lo, hi = (upto(i) for i in _inside(values, t))
     left, right = upto(np.searchsorted(values, t["pivot"], "left")), upto(np.searchsorted(values, t["pivot"], "right"))
     less, equal, more = np.maximum(left - lo, 0), right - left, np.maximum(hi - right, 0)
     return t["t"], less, equal, more, _at_rank(values, cum, lo + less // 2), _at_rank(values, cum, right + more // 2)
@@ -107,7 +133,7 @@ def _first(p):
 
 
 def _left(values, counts, t):
-    parts = [(np.searchsorted(values, a, "right"), np.searchsorted(values, b, "left")) for a, b in zip(t["lo"], t["hi"])]
+    parts = list(zip(*_inside(values, t)))
     return (np.concatenate([np.full(max(b - a, 0), x) for (a, b), x in zip(parts, t["t"])]), np.concatenate([values[a:b] for a, b in parts]), np.concatenate([counts[a:b] for a, b in parts]))
 
 
@@ -123,18 +149,21 @@ def multi_select(runs: DataFrame, groups: list[str], percentiles: list[float], *
     ``runs`` may be the union of any stored runs; further columns are ignored. Groups without values give no row.
     The rounds' state is a row a group and percentile, kept as a written table; nothing is collected.
     """
-    g = [f"`{x}`" for x in groups]
-    kinds = ", ".join(f"{x} {runs.schema[x.strip('`')].dataType.simpleString()}" for x in g)
+    asked, groups = groups, [f"group{k}_" for k in range(len(groups))]  # no group clashes with the state's own columns
+    runs = runs.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(asked, groups)], "run_values", "run_counts")
+    kinds = ", ".join(f"{x} {runs.schema[x].dataType.simpleString()}" for x in groups)
     runs = checkpointed(runs.select(*groups, "run_values", "run_counts"))
     p = np.array(percentiles, dtype=float)
     one = F.array(F.struct(F.lit(0).alias("t")))
     share = F.element_at(F.array(*[F.lit(float(x)) for x in p]), F.col("t") + 1)
-    inf = float("inf")
+    none = F.lit(float("nan"))
     first = runs.withColumn("targets", one).mapInPandas(_each_run(groups, _first(p), ["t", "n", "proposal"]), f"{kinds}, t int, n long, proposal double")
-    # a weighted median over the runs' proposals: as many entries as there are runs
-    state = first.groupBy(*groups, "t").agg(F.sum("n").alias("total"), F.percentile("proposal", 0.5, F.col("n")).alias("pivot"))
+    # a weighted median of the weighted medians of parts of the runs: no task holds the proposals of all runs
+    pivot = lambda c, n: F.percentile(c, 0.5, F.col(n)).alias(c)
+    part = F.pmod(F.xxhash64("proposal", "n"), F.lit(PARTS)).alias("part_")
+    state = first.groupBy(*groups, "t", part).agg(F.sum("n").alias("n"), pivot("proposal", "n")).groupBy(*groups, "t").agg(F.sum("n").alias("total"), F.percentile("proposal", 0.5, F.col("n")).alias("pivot"))
     state = state.select(
-        *groups, "t", "total", F.floor((F.col("total") - 1) * share).cast("long").alias("k"), F.lit(-inf).alias("lo"), F.lit(inf).alias("hi"),
+        *groups, "t", "total", F.floor((F.col("total") - 1) * share).cast("long").alias("k"), none.alias("lo"), none.alias("hi"),
         F.lit(0).cast("long").alias("below"), F.col("total").alias("live"), "pivot", F.lit(None).cast("double").alias("found"), F.lit(None).cast("long").alias("upto"),
     )
     state = checkpointed(state)
@@ -144,10 +173,9 @@ def multi_select(runs: DataFrame, groups: list[str], percentiles: list[float], *
         targets = state.where(busy).groupBy(*groups).agg(F.collect_list(F.struct("t", "lo", "hi", "pivot")).alias("targets"))
         joined = runs.alias("r").join(targets.alias("s"), _same("r", "s", groups)).select("r.*", "s.targets")
         split = joined.mapInPandas(_each_run(groups, _split, ["t", "less", "equal", "more", "left", "right"]), f"{kinds}, t int, less long, equal long, more long, left double, right double")
-        counted = split.groupBy(*groups, "t").agg(
-            F.sum("less").alias("less"), F.sum("equal").alias("equal"), F.sum("more").alias("more"),
-            F.percentile("left", 0.5, F.col("less")).alias("left"), F.percentile("right", 0.5, F.col("more")).alias("right"),
-        )
+        sums = [F.sum("less").alias("less"), F.sum("equal").alias("equal"), F.sum("more").alias("more"), pivot("left", "less"), pivot("right", "more")]
+        part = F.pmod(F.xxhash64("left", "right", "less", "more"), F.lit(PARTS)).alias("part_")
+        counted = split.groupBy(*groups, "t", part).agg(*sums).groupBy(*groups, "t").agg(*sums)
         both = state.alias("a").join(counted.alias("b"), [*_same("a", "b", groups), F.col("a.t") == F.col("b.t")], "left").select("a.*", "less", "equal", "more", "left", "right")
         split_here = F.col("less").isNotNull()
         below = F.col("k") < F.col("below") + F.col("less")
@@ -175,7 +203,6 @@ def multi_select(runs: DataFrame, groups: list[str], percentiles: list[float], *
     joined = runs.alias("r").join(need.alias("s"), _same("r", "s", groups)).select("r.*", "s.targets")
     above = joined.mapInPandas(_each_run(groups, _next, ["t", "v"]), f"{kinds}, t int, v double").groupBy(*groups, "t").agg(F.min("v").alias("above"))
     both = state.alias("a").join(above.alias("b"), [*_same("a", "b", groups), F.col("a.t") == F.col("b.t")], "left")
-    part = (F.col("total") - 1) * share - F.col("k")
     at = F.element_at(F.array(*[F.lit(float(x)) for x in p]), F.col("a.t") + 1)
     part = (F.col("total") - 1) * at - F.col("k")
-    return both.select(*[F.col(f"a.{x}") for x in groups], at.alias("percentile"), (F.col("found") + F.when(part > 0, part * (F.coalesce("above", "found") - F.col("found"))).otherwise(0.0)).alias("value"), F.col("total").alias("n_values"))
+    return both.select(*[F.col(f"a.{x}").alias(y) for x, y in zip(groups, asked)], at.alias("percentile"), F.when((part > 0) & (F.col("above") != F.col("found")) & (F.col("found") > float("-inf")), F.col("found") + part * (F.col("above") - F.col("found"))).otherwise(F.col("found")).alias("value"), F.col("total").alias("n_values"))

@@ -57,12 +57,24 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.multi_select(runs, ["brand", "channel"], SHARES)
 
 
+def p4_combined(spark: SparkSession, d: str) -> DataFrame:
+    """The same percentiles from runs that were stored by load, put together by brand and channel."""
+    stored = checkpointed(percentiles.value_runs(table(spark, d, "quotes"), ["load_id", "brand", "channel"], "premium"))
+    return percentiles.multi_select(percentiles.merged_runs(stored, ["brand", "channel"]), ["brand", "channel"], SHARES)
+
+
 def p4_by_load(spark: SparkSession, d: str) -> DataFrame:
-    """Medians by load from runs kept by load; the same runs, put together, give those of p4_percentiles."""
+    """Medians by load and channel."""
     runs = percentiles.value_runs(table(spark, d, "quotes"), ["load_id", "channel"], "premium")
     return percentiles.multi_select(runs, ["load_id", "channel"], [0.5]).drop("percentile")
 
 
+def p4_by_channel(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles by channel, whose groups go through many rounds of pivots at any size of the data."""
+    runs = percentiles.value_runs(table(spark, d, "quotes"), ["channel"], "premium")
+    return percentiles.multi_select(runs, ["channel"], SHARES)
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sizes = checkpointed(mixing.token_counts(table(spark, d, "documents")))
     return mixing.mixture(sizes, table(spark, d, "mix_targets"))
@@ -76,7 +88,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(*_mixed(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_misses": p3_misses, "p4_percentiles": p4_percentiles, "p4_by_load": p4_by_load, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_misses": p3_misses, "p4_percentiles": p4_percentiles, "p4_combined": p4_combined, "p4_by_load": p4_by_load, "p4_by_channel": p4_by_channel, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
+
+
+
+def _percentiles_sql(groups: str) -> str:
+    return " UNION ALL ".join(f"SELECT {groups}, CAST({p} AS DOUBLE) AS percentile, quantile_cont(premium, {p}) AS value, count(*) AS n_values FROM quotes WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY {groups}" for p in SHARES)
+
 
 SQL: dict[str, str] = {
     "p2_found": """
@@ -87,12 +105,9 @@ SQL: dict[str, str] = {
         ranked AS (
           SELECT risk_id, quote_id, row_number() OVER (PARTITION BY risk_id ORDER BY premium, brand) AS rank_no FROM priced WHERE n = 1)
         SELECT risk_id, CAST(rank_no AS INTEGER) AS rank_no, quote_id FROM ranked WHERE rank_no <= 5""",
-    "p4_percentiles": """
-        SELECT brand, channel, percentile, quantile_cont(premium, 0.1) AS value, count(*) AS n_values FROM quotes, (SELECT 0.1 AS percentile) WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY ALL
-        UNION ALL SELECT brand, channel, percentile, quantile_cont(premium, 0.25), count(*) FROM quotes, (SELECT 0.25 AS percentile) WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY ALL
-        UNION ALL SELECT brand, channel, percentile, quantile_cont(premium, 0.5), count(*) FROM quotes, (SELECT 0.5 AS percentile) WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY ALL
-        UNION ALL SELECT brand, channel, percentile, quantile_cont(premium, 0.75), count(*) FROM quotes, (SELECT 0.75 AS percentile) WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY ALL
-        UNION ALL SELECT brand, channel, percentile, quantile_cont(premium, 0.9), count(*) FROM quotes, (SELECT 0.9 AS percentile) WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY ALL""",
+    "p4_percentiles": _percentiles_sql("brand, channel"),
+    "p4_combined": _percentiles_sql("brand, channel"),
+    "p4_by_channel": _percentiles_sql("channel"),
     "p4_by_load": """
         SELECT load_id, channel, quantile_cont(premium, 0.5) AS value, count(*) AS n_values FROM quotes WHERE premium IS NOT NULL AND NOT isnan(premium) GROUP BY load_id, channel""",
 }

@@ -31,3 +31,20 @@ def test_stored_runs_are_put_together(spark):
     assert p.multi_select(union, ["g"], [0.5]).first().value == 19.5
     assert p.multi_select(runs[3], ["g"], [0.5]).first().value == 34.5
     assert p.multi_select(union.limit(0), ["g"], [0.5]).count() == 0
+
+
+def test_infinities_are_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1, v) for v in (1.0, 2.0, inf, inf)] + [(2, v) for v in (-inf, -inf, 0.0, 0.0)] + [(3, inf)], "k int, v double")
+    runs = p.value_runs(df, ["k"], "v")
+    for few in (1, 512):
+        got = {(r.k, r.percentile): r.value for r in p.multi_select(runs, ["k"], [0.0, 0.5, 0.9], few=few).collect()}
+        assert got == {(1, 0.0): 1.0, (1, 0.5): inf, (1, 0.9): inf, (2, 0.0): -inf, (2, 0.5): -inf, (2, 0.9): 0.0, (3, 0.0): inf, (3, 0.5): inf, (3, 0.9): inf}
+
+
+def test_stored_runs_put_together(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(k % 7, k % 2, rng.gauss(0, 1)) for k in range(4000)], "load int, k int, v double")
+    one = p.multi_select(p.value_runs(df, ["k"], "v"), ["k"], [0.25, 0.5], few=8)
+    two = p.multi_select(p.merged_runs(p.value_runs(df, ["load", "k"], "v", run_rows=300), ["k"]), ["k"], [0.25, 0.5], few=8)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
