@@ -132,6 +132,7 @@ class Model:
         self.idf, self.language = idf.astype(np.float32), language[order]
         self.centroids = np.ascontiguousarray(centroids[:, order], dtype=np.float32)  # a bucket's values side by side
         self.present, self.first = np.unique(self.language, return_index=True)
+        self.gathered = np.empty((0, self.centroids.shape[1]), dtype=np.float32)  # written over by every chunk
 
     def cosines(self, texts: list[str]) -> np.ndarray:
         """(texts x languages of CODES): the cosine to the nearest centroid of each language; -1 without any."""
@@ -146,7 +147,9 @@ class Model:
             if len(seg):
                 w = count * self.idf[bucket]
                 first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-                rows = self.centroids[bucket]
+                if len(self.gathered) < len(bucket):
+                    self.gathered = np.empty((2 * len(bucket), self.centroids.shape[1]), dtype=np.float32)
+                rows = np.take(self.centroids, bucket, axis=0, out=self.gathered[: len(bucket)], mode="clip")
                 dots = np.empty((len(first), rows.shape[1]), dtype=np.float32)
                 for k, (a, b) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(seg)])):
                     np.dot(w[a:b], rows[a:b], out=dots[k])
