@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import csv
+import re
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoteloom.functions.scalars import postcode_parts
@@ -34,6 +38,11 @@ def flood_bands(counts: DataFrame) -> DataFrame:
     return counts.withColumn("postcode", postcode_parts(F.col("postcode"))["postcode"]).where("postcode is not null").groupBy("postcode").agg(F.max(band).alias("flood_band"), F.max(share).alias("flood_high_share"))
 
 
+def subsidence(rows: DataFrame) -> DataFrame:
+    """(postcode, subsidence_band): the highest band of a postcode. ``rows``: postcode, band."""
+    return rows.withColumn("postcode", postcode_parts(F.col("postcode"))["postcode"]).where("postcode is not null").groupBy("postcode").agg(F.max(F.col("band").cast("double")).alias("subsidence_band"))
+
+
 def deprivation(rows: DataFrame, key: str = "postcode") -> DataFrame:
     return rows.groupBy(key).agg(F.median("decile").alias("imd_decile"))
 
@@ -73,3 +82,115 @@ def check_ready(enriched: DataFrame, *, min_resolved: float = 95.0) -> None:
     short = [(r.column, round(r.resolved_pct or 0.0, 1)) for r in resolved_coverage(enriched).where(F.coalesce("resolved_pct", F.lit(0.0)) < min_resolved).collect()]  # a row a column
     if short:
         raise ValueError(f"not ready for modelling: {short}")
+
+
+# ---- files ----------------------------------------------------------------------------------------------------
+
+#: The flood bands' names, from the lowest.
+FLOOD_BANDS = ["very low", "low", "medium", "high"]
+#: A reference file's name by source.
+FILES = {"flood": "ea_flood.csv", "sales": "price_paid.csv", "deprivation": "imd.csv", "crimes": "police", "bridge": "onspd.csv", "subsidence": "subsidence.csv"}
+
+
+def pick_column(columns: list[str], candidates: list[str], what: str) -> str:
+    """The first candidate that is a column, letter case aside; an error names the columns there are."""
+    have = {c.lower().strip(): c for c in columns}
+    found = next((have[c.lower()] for c in candidates if c.lower() in have), None)
+    if found is None:
+        raise ValueError(f"no column holds the {what}; there are {', '.join(columns)}")
+    return found
+
+
+def band_columns(columns: list[str]) -> dict[str, str]:
+    """Flood band -> column: equal names first, then the longest band contained in a name; no column twice ("very low" holds "low")."""
+    plain = {c: re.sub(r"[^a-z]", "", c.lower()) for c in columns}
+    out: dict[str, str] = {}
+    for exact in (True, False):
+        for band in sorted(FLOOD_BANDS, key=len, reverse=True):
+            key = band.replace(" ", "")
+            hit = next((c for c in columns if c not in out.values() and (plain[c] == key if exact else key in plain[c])), None)
+            if band not in out and hit:
+                out[band] = hit
+    return out
+
+
+def _head(path: str) -> list[str]:
+    with open(path, encoding="utf-8-sig", newline="") as f:
+        return next(csv.reader(f), [])
+
+
+def _csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.csv(path, header=True)
+
+
+def load_flood(spark: SparkSession, path: str) -> DataFrame:
+    raw = _csv(spark, path)
+    bands = band_columns(raw.columns)
+    count = lambda band: F.col(f"`{bands[band]}`").try_cast("double") if band in bands else F.lit(0.0)
+    return flood_bands(raw.select(F.col(f"`{pick_column(raw.columns, ['postcode', 'post_code', 'pcds'], 'postcode')}`").alias("postcode"), *[count(b).alias(b.replace(" ", "_")) for b in FLOOD_BANDS]))
+
+
+def load_sales(spark: SparkSession, path: str, **bounds) -> DataFrame:
+    """Sales by sector. A first line of 15 cells or more whose second is no word has no names: its second to fourth cells are price, date and postcode."""
+    first = _head(path)
+    if len(first) >= 15 and not re.fullmatch(r"[A-Za-z _]+", first[1].strip() or "x"):
+        raw = spark.read.csv(path, header=False)
+        at = {"price": raw.columns[1], "date": raw.columns[2], "postcode": raw.columns[3]}
+    else:
+        raw = _csv(spark, path)
+        at = {"price": pick_column(raw.columns, ["price", "price_paid"], "price"), "date": pick_column(raw.columns, ["date_of_transfer", "date", "deed_date"], "date"), "postcode": pick_column(raw.columns, ["postcode"], "postcode")}
+    rows = raw.select(F.col(f"`{at['postcode']}`").alias("postcode"), F.col(f"`{at['price']}`").try_cast("double").alias("price"), F.try_to_date(F.substring(F.col(f"`{at['date']}`"), 1, 10), "yyyy-MM-dd").alias("date"))
+    return sector_values(rows, **bounds)
+
+
+def load_deprivation(spark: SparkSession, path: str) -> DataFrame:
+    raw = _csv(spark, path)
+    decile = next((c for c in raw.columns if "decile" in c.lower()), None)
+    if decile is None:
+        raise ValueError(f"no column holds the decile; there are {', '.join(raw.columns)}")
+    key = pick_column(raw.columns, ["postcode", "lsoa", "lsoa code", "lsoa11", "lsoa21"], "place")
+    if key.lower() == "postcode":
+        return deprivation(raw.select(postcode_parts(F.col(f"`{key}`"))["postcode"].alias("postcode"), F.col(f"`{decile}`").try_cast("double").alias("decile")).where("postcode is not null"))
+    return deprivation(raw.select(F.col(f"`{key}`").alias("lsoa"), F.col(f"`{decile}`").try_cast("double").alias("decile")), "lsoa")
+
+
+def load_crimes(spark: SparkSession, folder: str) -> DataFrame:
+    """The crime index of all street files below a folder; files without a column of areas are passed over, a folder without any is an error."""
+    files = sorted(str(p) for p in Path(folder).rglob("*street.csv"))
+    column = lambda p: next((c for c in _head(p) if c.lower().strip() in ("lsoa code", "lsoa_code", "lsoa")), None)
+    with_area = {p: c for p in files if (c := column(p))}
+    if not with_area:
+        raise ValueError(f"no street file below {folder} has a column of areas")
+    out = None
+    for name in sorted(set(with_area.values())):
+        one = _csv(spark, [p for p, c in with_area.items() if c == name]).select(F.col(f"`{name}`").alias("lsoa"))
+        out = one if out is None else out.unionByName(one)
+    return crime_index(out)
+
+
+def load_bridge(spark: SparkSession, path: str) -> DataFrame:
+    raw = _csv(spark, path)
+    return area_bridge(raw.select(F.col(f"`{pick_column(raw.columns, ['pcds', 'postcode', 'pcd'], 'postcode')}`").alias("postcode"), F.col(f"`{pick_column(raw.columns, ['lsoa21', 'lsoa11', 'lsoa'], 'area')}`").alias("lsoa")))
+
+
+def load_subsidence(spark: SparkSession, path: str) -> DataFrame:
+    raw = _csv(spark, path)
+    return subsidence(raw.select(F.col(f"`{pick_column(raw.columns, ['postcode', 'post_code'], 'postcode')}`").alias("postcode"), F.col(f"`{pick_column(raw.columns, ['subsidence_band', 'band', 'susceptibility'], 'subsidence band')}`").try_cast("double").alias("band")))
+
+
+LOADERS = {"flood": load_flood, "sales": load_sales, "deprivation": load_deprivation, "crimes": load_crimes, "bridge": load_bridge, "subsidence": load_subsidence}
+
+
+def missing_files(folder: str) -> list[str]:
+    """The sources whose file a folder lacks."""
+    return [name for name, f in FILES.items() if not (Path(folder) / f).exists()]
+
+
+def default_sources(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
+    """(key, table) of the sources whose file is there, as ``enrich`` takes them."""
+    out = []
+    for name in FILES:
+        if name not in missing_files(folder):
+            t = LOADERS[name](spark, str(Path(folder) / FILES[name]))
+            out.append((next(k for k in ("sector", "postcode", "lsoa") if k in t.columns), t))
+    return out

@@ -38,7 +38,8 @@ def one_hot(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
 def temporal_split(df: DataFrame, *, holdout_weeks: int) -> DataFrame:
     """``df`` with ``split``: the last weeks that occur are held out. Fewer weeks than that plus one is an error on use."""
     weeks = df.select("week").distinct()
-    cut = weeks.withColumn("r", F.row_number().over(Window.orderBy(F.col("week").desc()))).where(F.col("r") == holdout_weeks).select(F.col("week").alias("cut_"))  # a row a week
+    few = F.raise_error(F.lit("too few weeks to hold any out")).cast("int")
+    cut = weeks.withColumn("r", F.row_number().over(Window.orderBy(F.col("week").desc()))).agg(F.max("r").alias("n_"), F.max(F.when(F.col("r") == holdout_weeks, F.col("week"))).alias("cut_")).select(F.when((F.col("n_") > 0) & (F.col("n_") <= holdout_weeks), few).otherwise(F.col("cut_")).alias("cut_"))  # a row a week
     return df.crossJoin(F.broadcast(cut)).withColumn("split", F.when(F.col("week") >= F.col("cut_"), "holdout").otherwise("train")).drop("cut_")
 
 
@@ -186,6 +187,143 @@ class Ridge:
         return rows.withColumn("y_pred", self.prediction())
 
 
+def rolling_last_level(train: DataFrame, hold: DataFrame) -> DataFrame:
+    """``hold`` with y_pred of the last-level model refreshed weekly: each week is predicted by the latest week before it of its brand and channel.
+
+    What a level is after a week has come in does not depend on the model, so the refresh is an as-of lookup over the table of
+    weekly medians: those of the last training week and of the held-out weeks. A brand and channel without one takes the last
+    training week's level of its brand, else of the market, as the blind model does.
+    """
+    columns = ["brand", "channel", "week", "log_premium"]
+    seen = last_week(train).select(*columns).unionByName(hold.select(*columns))
+    medians = exact_quantiles(seen, ["brand", "channel", "week"], {"level_": median(F.col("log_premium"))})
+    before = Window.partitionBy("brand", "channel").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)  # a row a week
+    weeks = hold.select("brand", "channel", "week").distinct()
+    known = medians.join(weeks.withColumn("asked_", F.lit(True)), ["brand", "channel", "week"], "left").withColumn("latest_", F.last("level_", ignorenulls=True).over(before))
+    latest = known.where("asked_").select("brand", "channel", "week", "latest_")
+    blind = last_level_model(train, hold)
+    return blind.join(latest, ["brand", "channel", "week"], "left").withColumn("y_pred", F.coalesce("latest_", "y_pred")).drop("latest_")
+
+
+def rolling_comparison(matrix: DataFrame, *, holdout_weeks: int) -> DataFrame:
+    """Scored rows of the held-out weeks under two regimes from one fit: ``blind``, and ``rolling``, refreshed by each week once it is over.
+
+    Models that have nothing to refresh score the same in both.
+    """
+    split = temporal_split(matrix, holdout_weeks=holdout_weeks)
+    train, hold = split.where("split = 'train'"), split.where("split = 'holdout'").drop("split")
+    keep = lambda df, approach, regime: df.select("risk_id", "brand", "channel", "week", F.col("log_premium").alias("y_true"), "y_pred", F.lit(approach).alias("approach"), F.lit(regime).alias("regime"))
+    means = level_model(train, hold, ["brand"])
+    parts = [keep(means, "brand_geomean", "blind"), keep(means, "brand_geomean", "rolling"), keep(last_level_model(train, hold), "brand_last_level", "blind"), keep(rolling_last_level(train, hold), "brand_last_level", "rolling")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def first_week_identical(per_week: DataFrame, *, tolerance: float = 1e-9) -> DataFrame:
+    """(approach, week, spread, identical): whether the regimes agree on the first held-out week, as they must. ``per_week``: approach, regime, week, mape."""
+    first = per_week.join(F.broadcast(per_week.agg(F.min("week").alias("first_"))), F.col("week") == F.col("first_"))  # one row
+    both = first.groupBy("approach", "week").agg(F.count_distinct("regime").alias("n_"), (F.max("mape") - F.min("mape")).alias("spread"))
+    return both.where("n_ > 1").select("approach", "week", "spread", (F.col("spread") <= tolerance).alias("identical"))
+
+
+def leaderboard(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Metrics rounded to two places, the best median error first within each split."""
+    m = premium_metrics(scored, by)
+    return m.select(*by, *[F.round(c, 2).alias(c) for c in ("mdape", "rmsle", "bias", "within_10pct")]).orderBy(*[c for c in by if c != "approach"], "mdape", "approach")
+
+
+def additivity_gap(board: DataFrame, additive: str, flexible: str) -> DataFrame:
+    """(split, both median errors, gap_pct_points) of splits that have both approaches: what the additive form costs, or gains."""
+    at = lambda name: F.max(F.when(F.col("approach") == name, F.col("mdape")))
+    both = board.groupBy("split").agg(at(additive).alias(f"{additive}_mdape"), at(flexible).alias(f"{flexible}_mdape"))
+    return both.where(F.col(f"{additive}_mdape").isNotNull() & F.col(f"{flexible}_mdape").isNotNull()).withColumn("gap_pct_points", F.round(F.col(f"{additive}_mdape") - F.col(f"{flexible}_mdape"), 2))
+
+
+class TrendAdjusted:
+    """An inner model, fitted with its week, with the level change past the last trained week added to it.
+
+    ``inner``: (train, rows) -> rows with y_pred. The level series are those of residuals of inner models without week, each
+    fold of risks predicted by a fit on the others. Rows past the last week are given to the inner model as of that week;
+    then the brand's offset and forward change are added. ``recalibrate`` moves the offsets by what newly observed weeks leave.
+    """
+
+    def __init__(self, inner, *, folds: int = 3, anchor_rows: float = 50.0, anchor_weeks: int = 4, max_horizon: int = 13, weight: float | None = None, seed: int = 0):
+        self.inner, self.folds, self.anchor_rows, self.anchor_weeks, self.max_horizon, self.weight, self.seed = inner, folds, anchor_rows, anchor_weeks, max_horizon, weight, seed
+
+    def fit(self, train: DataFrame) -> TrendAdjusted:
+        if "week" not in train.columns:
+            raise ValueError("a trend needs the week")
+        self.train = train
+        self.last = self.as_of = train.agg(F.max("week")).first()[0]
+        flat = train.withColumn("week", F.lit(0))
+        fold = F.floor(hash_uniform(F.lit(self.seed), F.col("risk_id")) * self.folds).cast("int")
+        parts = []
+        for k in range(self.folds if self.folds > 1 else 1):
+            held, others = (train.where(fold == k), flat.where(fold != k)) if self.folds > 1 else (train, flat)
+            shape = self.inner(others, held.withColumn("week_", F.col("week")).withColumn("week", F.lit(0)))
+            parts.append(shape.select("brand", F.col("week_").alias("week"), (F.col("log_premium") - F.col("y_pred")).alias("resid"), F.lit(1.0).alias("weight")))
+        resid = parts[0]
+        for p in parts[1:]:
+            resid = resid.unionByName(p)
+        self.levels = checkpointed(brand_levels(resid))  # a row a brand and week
+        used = trend_weight(self.levels) if self.weight is None else self.weight
+        self.trends = checkpointed(trend(self.levels, trend_weight=used, anchor_weeks=self.anchor_weeks))
+        self.offsets: dict[str, float] = {}
+        return self
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        base = self.inner(self.train, rows.withColumn("week_", F.col("week")).withColumn("week", F.least("week", F.lit(self.last)))).withColumn("week", F.col("week_")).drop("week_")
+        offset = F.coalesce(F.create_map(*[F.lit(x) for kv in self.offsets.items() for x in kv])[F.col("brand")], F.lit(0.0)) if self.offsets else F.lit(0.0)
+        return forward_delta(self.trends, base, self.as_of, cap=self.max_horizon).withColumn("y_pred", F.col("y_pred") + offset + F.col("delta")).drop("delta")
+
+    def recalibrate(self, seen: DataFrame) -> TrendAdjusted:
+        """Offsets moved by the median residuals of the latest weeks of ``seen``, shrunk to the market's by the number of rows; a row a brand comes to the driver."""
+        resid = checkpointed(self.predict(seen).select("brand", "week", (F.col("log_premium") - F.col("y_pred")).alias("r")).where("r is not null"))
+        latest = resid.agg(F.max("week")).first()[0]
+        if latest is None:
+            return self
+        window = resid.where(F.col("week") > latest - self.anchor_weeks)
+        market = exact_quantiles(window, [], {"m": median(F.col("r"))}, written=False).first().m
+        for x in with_quantiles(window.groupBy("brand").agg(F.count("*").alias("n")), window, ["brand"], {"m": median(F.col("r"))}, written=False).collect():
+            cred = x.n / (x.n + self.anchor_rows) if self.anchor_rows > 0 else 1.0
+            self.offsets[x.brand] = self.offsets.get(x.brand, 0.0) + cred * x.m + (1 - cred) * market
+        self.as_of = max(self.as_of, latest)
+        return self
+
+    def report(self) -> DataFrame:
+        """(brand, offset_pct), the cumulative offsets in percent of the premium, least first; the market stands first in ``drift_report``."""
+        rows = sorted(((b, float((np.exp(v) - 1) * 100)) for b, v in self.offsets.items()), key=lambda r: r[1])
+        return self.train.sparkSession.createDataFrame(rows, "brand string, offset_pct double")
+
+
+def drift_report(trends: DataFrame) -> DataFrame:
+    """(brand, weekly_pct, annual_pct): used slopes in percent a week and over 52, the market first, then by brand."""
+    pct = lambda weeks: (F.exp(F.col("used_slope") * weeks) - 1) * 100
+    return trends.select("brand", "n_weeks", pct(1).alias("weekly_pct"), pct(52).alias("annual_pct")).orderBy(F.col("brand") != "MARKET", "brand")
+
+
+def level_at(levels: DataFrame, trends: DataFrame, asked: DataFrame, *, max_horizon: int = 13) -> DataFrame:
+    """``asked`` (brand, week) with level: what was observed; past the end the anchor and the used slope, before the start mirrored, in a gap the fitted line.
+
+    Unknown brands have the market's.
+    """
+    known = levels.select("brand", "week", "level")
+    brands = known.select("brand").distinct().withColumn("own_", F.lit(True))
+    a = asked.join(brands, "brand", "left").withColumn("of_", F.when(F.col("own_"), F.col("brand")).otherwise("MARKET")).drop("own_")
+    ends = known.groupBy(F.col("brand").alias("of_")).agg(F.min("week").alias("first_"), F.max("week").alias("last_"), F.min_by("level", "week").alias("start_"))
+    t = trends.select(F.col("brand").alias("of_"), "anchor", "used_slope", "slope")
+    near = a.join(ends, "of_").join(t, "of_")
+    w = F.col("weight")
+    centre = levels.groupBy(F.col("brand").alias("of_")).agg((F.sum(w * F.col("week")) / F.sum(w)).alias("x_"), (F.sum(w * F.col("level")) / F.sum(w)).alias("y_"))
+    near = near.join(centre, "of_").join(known.select(F.col("brand").alias("of_"), "week", F.col("level").alias("seen_")), ["of_", "week"], "left")
+    inside = F.coalesce("seen_", F.col("y_") + F.col("slope") * (F.col("week") - F.col("x_")))
+    past = F.least(F.abs(F.col("week") - F.when(F.col("week") > F.col("last_"), F.col("last_")).otherwise(F.col("first_"))), F.lit(max_horizon))
+    level = F.when(F.col("week") > F.col("last_"), F.col("anchor") + F.col("used_slope") * past).when(F.col("week") < F.col("first_"), F.col("start_") - F.col("used_slope") * past).otherwise(inside)
+    return near.select(*asked.columns, level.alias("level"))
+
+
 def quote_rates(quotes: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` with p_quote: the brand's rate of quoting, else everyone's."""
     known = quotes.where("quoted is not null")
@@ -357,7 +495,7 @@ def approaches() -> tuple[dict[str, object], dict[str, str]]:
     from importlib.util import find_spec
 
     missing = {n: f"{lib} is not installed" for n, (lib, _) in APPROACHES.items() if lib and find_spec(lib) is None}
-    return {n: f for n, (_, f) in APPROACHES.items() if n not in missing}, missing
+    return {n: f for n, (_, f) in APPROACHES.items() if n not in missing}, missing | NOT_BUILT
 
 
 @register("global_geomean")
@@ -421,8 +559,26 @@ def _per_brand(train, rows, *, min_rows: int = 300, alpha: float = 1.0):
     return pooled.predict(rows).join(F.broadcast(fits), "brand", "left").withColumn("y_pred", F.coalesce(y, F.col("y_pred"))).drop("b0_", "b_")  # a row a brand
 
 
-for _name, _lib in (("ebm_pooled", "interpret"), ("ebm_per_brand", "interpret"), ("gbm_pooled", "lightgbm"), ("gbm_per_brand", "lightgbm"), ("catboost_pooled", "catboost")):
-    register(_name, _lib)(None)
+def per_brand(inner, *, min_rows: int = 300):
+    """Any model fitted a brand where the brand has ``min_rows`` rows, else pooled: the wrapper runs the fits one after another, a brand a fit."""
+
+    def model(train, rows):
+        counts = [r.brand for r in train.groupBy("brand").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).orderBy("brand").collect()]  # a row a brand
+        rest = rows.where(F.coalesce(~F.col("brand").isin(counts), F.lit(True)) if counts else F.lit(True))
+        out = inner(train, rest)
+        for b in counts:
+            out = out.unionByName(inner(train.where(F.col("brand") == b), rows.where(F.col("brand") == b)))
+        return out
+
+    return model
+
+
+register("gbt_per_brand")(per_brand(_gbt))
+register("brand_geomean_trend")(lambda train, rows: TrendAdjusted(_brand).fit(train).predict(rows))
+register("ridge_log_trend")(lambda train, rows: TrendAdjusted(_ridge).fit(train).predict(rows))
+
+#: Models of libraries that no operator here is built on: asked for, they are skipped with this reason. Spark's trees stand under their own names.
+NOT_BUILT = {n: f"no operator is built on {lib}" for n, lib in (("ebm_pooled", "interpret"), ("ebm_per_brand", "interpret"), ("gbm_pooled", "lightgbm"), ("gbm_per_brand", "lightgbm"), ("catboost_pooled", "catboost"))}
 
 
 def compare(matrix: DataFrame, names: list[str], *, holdout_weeks: int, on_done=None) -> tuple[DataFrame | None, dict[str, str]]:

@@ -104,6 +104,18 @@ def grid(*sides: DataFrame) -> DataFrame:
     return out
 
 
+def first_ranks(df: DataFrame, group: list[str], value: str, tie: list[str], name: str = "rank_no") -> DataFrame:
+    """``df`` with the place of each non-null value in its group, ties by the order of ``tie``; null values have none."""
+    w = Window.partitionBy(*group, F.col(value).isNull()).orderBy(value, *tie)
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.row_number().over(w)))
+
+
+def groups_of_size(df: DataFrame, group: list[str], size: int) -> DataFrame:
+    """Rows whose group has exactly ``size`` rows; counts combine before the shuffle, so a hot group is counted in parts."""
+    whole = df.groupBy(*group).agg(F.count("*").alias("n_")).where(F.col("n_") == size).select(*[F.col(g).alias(f"{g}_") for g in group])
+    return df.join(whole, [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in group], "left_semi")
+
+
 def rejects(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``df`` with ``problems``: the names of the rules that fail, empty for sound rows. A rule that is null fails."""
     return df.withColumn("problems", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])))
@@ -115,6 +127,23 @@ def problem_summary(messages: DataFrame, column: str = "message") -> DataFrame:
     return messages.groupBy(masked.alias("problem")).agg(F.count("*").alias("n"))
 
 
+#: Attributes of a risk without which no model of a brand can be fitted.
+ESSENTIALS = ["postcode", "policy_type", "building_type", "buildings_sum_insured", "contents_sum_insured", "voluntary_excess"]
+
+
+def attribute_findings(rows: DataFrame, essentials: list[str] = ESSENTIALS) -> DataFrame:
+    """(severity, code, measure): essential attributes that are absent (a blocker), or there and under half filled; one row a code, counted."""
+    here = [c for c in essentials if c in rows.columns]
+    absent = len(essentials) - len(here)
+    thin = F.lit(0)
+    for c in here:
+        thin = thin + F.when(F.count(F.col(c)) < 0.5 * F.count("*"), 1).otherwise(0)
+    one = rows.agg(F.count("*").alias("n"), thin.alias("thin"))
+    find = lambda when, sev, code, measure: F.when(when, F.struct(F.lit(sev).alias("severity"), F.lit(code).alias("code"), measure.cast("double").alias("measure")))
+    found = F.array_compact(F.array(find(F.lit(absent > 0), "BLOCKER", "no_risk_attributes", F.lit(absent)), find((F.col("n") > 0) & (F.col("thin") > 0), "WARN", "sparse_risk_attributes", F.col("thin"))))
+    return one.select(F.explode(found).alias("f")).select("f.*")
+
+
 def audit(quotes: DataFrame, *, declines_included: bool | None = None, truncated_to_top_n: int | None = None) -> DataFrame:
     """(severity, code, measure): what is wrong with an extract however clean it looks, blockers first.
 

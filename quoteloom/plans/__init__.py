@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["market", "vendor", "features", "training"]
+MODULES = ["market", "vendor", "collection", "features", "training"]
 
 
 def queries() -> dict:

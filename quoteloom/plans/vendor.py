@@ -9,14 +9,11 @@ from quoteloom.functions import scalars as S
 from quoteloom.operators import tables as T
 from quoteloom.operators.quantiles import exact_quantiles, median
 from quoteloom.session import table
+from quoteloom.sources.spec import SPELLINGS
 from quoteloom.streaming.feeds import windowed_levels
 
-# Spellings of a channel.
-CHANNELS = {
-    "direct": "direct", "insurer direct": "direct", "own site": "direct", "compare the market": "pcw_ctm", "comparethemarket": "pcw_ctm", "ctm": "pcw_ctm", "pcw_ctm": "pcw_ctm",
-    "moneysupermarket": "pcw_msm", "money supermarket": "pcw_msm", "msm": "pcw_msm", "pcw_msm": "pcw_msm", "confused": "pcw_confused", "confused.com": "pcw_confused", "pcw_confused": "pcw_confused",
-    "gocompare": "pcw_gocompare", "go compare": "pcw_gocompare", "pcw_gocompare": "pcw_gocompare",
-}
+#: The spec's spellings, and the codes themselves.
+CHANNELS = {v: v for v in SPELLINGS["channel"].values()} | SPELLINGS["channel"]
 KEYS = ["risk_id", "brand", "channel", "collected_on"]
 
 

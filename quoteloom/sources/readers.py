@@ -114,10 +114,11 @@ def _unique(header: list[str]) -> list[str]:
     return out
 
 
-def read_extract(spark: SparkSession, path: str, *, sheet: str | int = 0, header_row: int = 0, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
+def read_extract(spark: SparkSession, path: str, *, sheet: str | int = 0, header_row: int = 0, delimiter: str | None = None, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
     """One file as a table: delimited text and spreadsheets all as strings, Parquet and JSON with their own types.
 
-    ``header_row`` title lines are passed over. Empty fields are null. A suffix of no known format is an error.
+    ``header_row`` title lines are passed over. Empty fields are null. Records may hold line breaks inside quotes; where
+    none do, ``multi_line=False`` lets a large file be split. A suffix of no known format is an error.
     """
     kind = bare_suffix(path)
     if kind in (".parquet", ".pq"):
@@ -138,14 +139,14 @@ def read_extract(spark: SparkSession, path: str, *, sheet: str | int = 0, header
         return _read_on_driver(spark, path, sep, encoding, header_row)
     header = _unique(next(csv.reader(lines[:1], delimiter=sep), []))
     schema = ", ".join(f"`{h}` string" for h in header)
+    how = {"schema": schema, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line, "enforceSchema": True, "encoding": "UTF-8"}
     if not header_row:
-        return spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=False, enforceSchema=True, encoding="UTF-8")
-    # title rows: the header and what stands before it are left out by their text, in the first lines of the file alone
-    title = head.decode("utf-8", errors="replace").lstrip("﻿").splitlines()[: header_row + 1]
-    raw = spark.read.text(path)
-    body = raw.where(~F.regexp_replace("value", "^﻿", "").isin(title))
-    parsed = F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"'})
-    return body.where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
+        return spark.read.csv(path, header=True, **how)
+    # title rows and the header go by their place: a file of records with line breaks is one partition, numbered from its start
+    title = head.decode("utf-8", errors="replace").lstrip("\ufeff").splitlines()[: header_row + 1]
+    skipped = sum(1 for r in title if r.strip())  # the reader passes over blank lines
+    rows = spark.read.csv(path, header=False, **how | {"multiLine": True})
+    return rows.withColumn("place_", F.monotonically_increasing_id()).where(F.col("place_") >= skipped).drop("place_")
 
 
 def _read_on_driver(spark: SparkSession, path: str, sep: str, encoding: str, header_row: int) -> DataFrame:
@@ -162,6 +163,8 @@ def _read_sheet(spark: SparkSession, path: str, sheet: str | int, header_row: in
         import openpyxl
     except ImportError as e:
         raise RuntimeError("reading spreadsheets needs openpyxl, which is not installed") from e
+    if os.path.getsize(path) > MAX_DRIVER_BYTES:
+        raise ValueError(f"{path}: too large a workbook for the driver; export it as delimited text")
     book = openpyxl.load_workbook(path, read_only=True, data_only=True)
     ws = book.worksheets[sheet] if isinstance(sheet, int) else book[sheet]
     rows = [[None if c is None else str(c) for c in r] for r in ws.iter_rows(values_only=True)][header_row:]

@@ -22,7 +22,7 @@ DATES = {"collected_on"}
 SPELLINGS: dict[str, dict[str, str]] = {
     "policy_type": {"buildings only": "buildings", "buildings": "buildings", "contents only": "contents", "contents": "contents", "combined": "combined", "buildings and contents": "combined", "buildings & contents": "combined", "home": "combined"},
     "occupancy": {"owner occupied": "owner_occupied", "owner-occupied": "owner_occupied", "main residence": "owner_occupied", "let": "let", "landlord": "let", "tenanted": "let", "second home": "second_home", "holiday home": "second_home", "unoccupied": "unoccupied", "vacant": "unoccupied"},
-    "channel": {"direct": "direct", "insurer direct": "direct", "own site": "direct", "compare the market": "pcw_ctm", "ctm": "pcw_ctm", "moneysupermarket": "pcw_msm", "money supermarket": "pcw_msm", "msm": "pcw_msm", "confused": "pcw_confused", "confused.com": "pcw_confused", "gocompare": "pcw_gocompare", "go compare": "pcw_gocompare"},
+    "channel": {"direct": "direct", "insurer direct": "direct", "own site": "direct", "compare the market": "pcw_ctm", "comparethemarket": "pcw_ctm", "ctm": "pcw_ctm", "moneysupermarket": "pcw_msm", "money supermarket": "pcw_msm", "msm": "pcw_msm", "confused": "pcw_confused", "confused.com": "pcw_confused", "gocompare": "pcw_gocompare", "go compare": "pcw_gocompare"},
 }
 
 #: Words of a header that name its field; of those that fit the longest decides, then the first.
@@ -120,11 +120,11 @@ def _reading(spec: VendorSpec, name: str, c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def apply_spec(source: DataFrame, spec: VendorSpec, registry: DataFrame | None = None) -> DataFrame:
+def apply_spec(source: DataFrame, spec: VendorSpec, registry: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Canonical rows: one projection of the source's columns, declared facts applied to the price, the outcome inferred where absent.
 
-    ``registry`` (brand, underwriter) resolves brands by their keys; unresolved ones are null, with the text kept
-    in brand_raw. ``unread`` names the fields whose text was there and could not be read. Columns that the
+    ``registry`` (brand, underwriter) resolves brands by their keys, and ``aliases`` (spec_name, alias_text, brand) the short names
+    of this spec; unresolved ones are null, with the text kept in brand_raw, as the file's own underwriter is in underwriter_raw. ``unread`` names the fields whose text was there and could not be read. Columns that the
     source lacks are null. Declines carry no price. A wide layout is melted first.
     """
     if spec.brand_columns:
@@ -148,7 +148,13 @@ def apply_spec(source: DataFrame, spec: VendorSpec, registry: DataFrame | None =
     out = out.withColumn("premium", F.when(F.col("quoted"), F.col("premium")))
     if registry is None:
         return out
-    names = registry.select(F.col("brand").alias("name_"), F.col("underwriter").alias("under_"), S.brand_key(F.col("brand")).alias("key_")).dropDuplicates(["key_"])
+    names = registry.select(F.col("brand").alias("name_"), F.col("underwriter").alias("under_"), S.brand_key(F.col("brand")).alias("key_"))
+    if aliases is not None:
+        short = aliases.where(F.col("spec_name") == spec.name).select(F.col("brand").alias("name_"), S.brand_key(F.col("alias_text")).alias("key_"))
+        names = names.unionByName(short.join(names.select("name_", "under_"), "name_").select("name_", "under_", "key_"))
+    names = names.groupBy("key_").agg(F.min(F.struct("name_", "under_")).alias("n_")).select("key_", "n_.*")
+    if "underwriter" in out.columns:
+        out = out.withColumn("underwriter_raw", F.col("underwriter"))
     out = out.withColumn("brand_raw", F.col("brand")).withColumn("key_", S.brand_key(F.col("brand"))).join(F.broadcast(names), "key_", "left")  # a row a provider
     return out.drop("key_", "brand", "underwriter").withColumnsRenamed({"name_": "brand", "under_": "underwriter"})
 
@@ -158,6 +164,23 @@ def unread_summary(canonical: DataFrame) -> DataFrame:
     return canonical.select(F.explode("unread").alias("field")).groupBy("field").agg(F.count("*").alias("n"))
 
 
+def spec_problems(source: DataFrame, spec: VendorSpec, canonical: DataFrame) -> DataFrame:
+    """(kind, name, n): columns that the source lacks, columns overlooked though a name hints at a field, texts that could not be read, brands not resolved and underwriters that differ from the registry's."""
+    have = {c.lower() for c in source.columns}
+    used = {c.lower() for c in spec.columns.values()} | {c.lower() for c in spec.brand_columns}
+    fixed = [("missing", c, None) for c in spec.columns.values() if c.lower() not in have]
+    fixed += [("overlooked", c, None) for c in source.columns if c.lower() not in used and (f := hinted_field(c)) and f not in spec.columns]
+    known = canonical.sparkSession.createDataFrame(fixed, "kind string, name string, n long")
+    out = known.unionByName(unread_summary(canonical).select(F.when(F.col("field") == "quoted", "status").otherwise("unread").alias("kind"), F.col("field").alias("name"), "n"))
+    if "brand_raw" in canonical.columns:
+        lost = canonical.where("brand is null and brand_raw is not null").groupBy("brand_raw").agg(F.count("*").alias("n"))
+        out = out.unionByName(lost.select(F.lit("brand").alias("kind"), F.col("brand_raw").alias("name"), "n"))
+    if {"underwriter", "underwriter_raw"} <= set(canonical.columns):
+        other = canonical.where(S.norm_token(F.col("underwriter")) != S.norm_token(F.col("underwriter_raw"))).groupBy("brand").agg(F.count("*").alias("n"))
+        out = out.unionByName(other.select(F.lit("underwriter").alias("kind"), F.col("brand").alias("name"), "n"))
+    return out
+
+
 def draft_spec(source: DataFrame, name: str) -> tuple[VendorSpec, list[str]]:
     """A spec guessed from the headers, the first column of each guess, and the columns that no field was found for."""
     columns: dict[str, str] = {}
