@@ -161,7 +161,57 @@ def drift_residuals(spark, d):
     return M.trend(M.brand_levels(resid))
 
 
-QUERIES = {f.__name__: f for f in (postcode_fields, sector_values, outcode_rank, area_bridge, enriched_coverage, model_matrix, one_hot_occupancy, adequacy, temporal_split, spatial_split, rolling_origins, approach_metrics, brand_metrics, rolling_metrics, top_k_metrics, residual_profile, brand_levels, level_trend, forward_levels, rank_correlation, quote_rate_model, ridge_metrics, drift_residuals)}
+def _regimes(spark, d) -> DataFrame:
+    return M.premium_metrics(M.rolling_comparison(_matrix(spark, d), holdout_weeks=HOLD), ["approach", "regime", "week"])
+
+
+def rolling_comparison(spark, d):
+    """Errors week by week of one fit, blind and refreshed by each week once it is over."""
+    return rounded(_regimes(spark, d), "mdape", "mape", "rmsle", "bias", "within_10pct", places=6)
+
+
+def first_week_check(spark, d):
+    """Both regimes score the first held-out week alike."""
+    return rounded(M.first_week_identical(_regimes(spark, d)), "spread", places=6)
+
+
+def additivity_gap(spark, d):
+    """What the brand's mean costs against its last level, on the weeks held out."""
+    board = M.leaderboard(_scored(spark, d).withColumn("split", F.lit("temporal")), ["split", "approach"])
+    return M.additivity_gap(board, "brand_geomean", "brand_last_level")
+
+
+def worst_brands(spark, d):
+    """The three brands that are predicted worst."""
+    m = M.premium_metrics(_scored(spark, d, ["brand_last_level"]), ["brand"])
+    return rounded(m.orderBy(F.col("mape").desc(), "brand").limit(3).select("brand", "n", "mape"), "mape", places=6)
+
+
+def drift_report(spark, d):
+    return rounded(M.drift_report(M.trend(_levels(spark, d))), "weekly_pct", "annual_pct", places=6)
+
+
+def levels_at(spark, d):
+    """Levels asked for before, within and past the weeks observed; a brand nobody knows has the market's."""
+    levels = checkpointed(_levels(spark, d))
+    asked = levels.select("brand").distinct().unionByName(spark.createDataFrame([("nobody",)], "brand string")).withColumn("week", F.explode(F.sequence(F.lit(-5), F.lit(140), F.lit(5))))
+    return rounded(M.level_at(levels, M.trend(levels), asked), "level", places=7)
+
+
+def trend_adjusted_metrics(spark, d):
+    """The trend over brand means: blind on the weeks held out, and the last of them after the others have come in."""
+    m = M.temporal_split(_matrix(spark, d), holdout_weeks=HOLD)
+    train, hold = checkpointed(m.where("split = 'train'").drop("split")), checkpointed(m.where("split = 'holdout'").drop("split"))
+    model = M.TrendAdjusted(M.APPROACHES["brand_geomean"][1]).fit(train)
+    score = lambda rows, regime: model.predict(rows).select("week", F.col("log_premium").alias("y_true"), "y_pred", F.lit(regime).alias("regime"))
+    out = checkpointed(score(hold, "blind"))
+    for (week,) in sorted(hold.select("week").distinct().collect()):  # the weeks held out
+        out = out.unionByName(score(hold.where(F.col("week") == week), "rolling"))
+        model.recalibrate(hold.where(F.col("week") == week))
+    return M.premium_metrics(out, ["regime", "week"])
+
+
+QUERIES = {f.__name__: f for f in (rolling_comparison, first_week_check, additivity_gap, worst_brands, drift_report, levels_at, trend_adjusted_metrics, postcode_fields, sector_values, outcode_rank, area_bridge, enriched_coverage, model_matrix, one_hot_occupancy, adequacy, temporal_split, spatial_split, rolling_origins, approach_metrics, brand_metrics, rolling_metrics, top_k_metrics, residual_profile, brand_levels, level_trend, forward_levels, rank_correlation, quote_rate_model, ridge_metrics, drift_residuals)}
 
 _PC = r"^([A-PR-UWYZ][A-HK-Y]?)([0-9][0-9]?|[0-9][A-HJKPS-UW])([0-9])([ABD-HJLNP-UW-Z]{2})$"
 _PARTS = f"""parts AS (
@@ -193,7 +243,28 @@ e AS (SELECT brand, week, log_premium - v AS e0 FROM m JOIN cm USING (channel)),
 z AS (SELECT brand, week, e0 - avg(e0) OVER (PARTITION BY brand) AS e FROM e),
 levels AS (SELECT brand, week, avg(e) AS level, CAST(count(*) AS DOUBLE) AS weight FROM z GROUP BY ALL UNION ALL SELECT 'MARKET', week, avg(e), CAST(count(*) AS DOUBLE) FROM z GROUP BY week)"""
 
+_ROLLED = f"""{_SCORED},
+wk AS (SELECT brand, channel, week, median(log_premium) AS v FROM (SELECT brand, channel, week, log_premium FROM lastw UNION ALL SELECT brand, channel, week, log_premium FROM hold) GROUP BY ALL),
+fresh AS (SELECT h.risk_id, h.brand, h.channel, h.week, h.log_premium, (SELECT arg_max(w.v, w.week) FROM wk w WHERE w.brand = h.brand AND w.channel = h.channel AND w.week < h.week) AS v FROM hold h),
+regimes AS (
+  SELECT approach, 'blind' AS regime, week, y_true, y_pred FROM scored WHERE approach <> 'global_geomean'
+  UNION ALL SELECT approach, 'rolling', week, y_true, y_pred FROM scored WHERE approach = 'brand_geomean'
+  UNION ALL SELECT 'brand_last_level', 'rolling', week, log_premium, coalesce(fresh.v, bb.v, (SELECT median(log_premium) FROM lastw)) FROM fresh LEFT JOIN bb USING (brand))"""
+_TRENDS = """s AS (SELECT brand, count(*) AS n_weeks, sum(weight) AS sw, sum(weight * week) AS sx, sum(weight * level) AS sy, sum(weight * week * week) AS sxx, sum(weight * week * level) AS sxy, sum(weight * level) FILTER (WHERE recent) / sum(weight) FILTER (WHERE recent) AS anchor
+        FROM (SELECT *, week > max(week) OVER (PARTITION BY brand) - 4 AS recent FROM levels) GROUP BY brand),
+      t0 AS (SELECT *, CASE WHEN n_weeks >= 2 AND sxx - sx * sx / sw > 1e-12 THEN (sxy - sx * sy / sw) / (sxx - sx * sx / sw) ELSE 0 END AS slope, n_weeks / (n_weeks + 4.0) AS credibility FROM s),
+      t AS (SELECT *, 0.25 * CASE WHEN brand = 'MARKET' THEN slope ELSE credibility * slope + (1 - credibility) * (SELECT slope FROM t0 WHERE brand = 'MARKET') END AS used_slope FROM t0)"""
+
 SQL: dict[str, str] = {
+    "rolling_comparison": f"WITH {_ROLLED} SELECT approach, regime, week, {_METRICS} FROM regimes GROUP BY ALL",
+    "first_week_check": f"WITH {_ROLLED}, per AS (SELECT approach, regime, week, avg(abs(exp(y_pred - y_true) - 1)) * 100 AS mape FROM regimes WHERE week = (SELECT min(week) FROM hold) GROUP BY ALL) SELECT approach, week, round(max(mape) - min(mape), 6) AS spread, max(mape) - min(mape) <= 1e-9 AS identical FROM per GROUP BY ALL",
+    "additivity_gap": f"WITH {_SCORED}, b AS (SELECT approach, round(median(abs(exp(y_pred - y_true) - 1)) * 100, 2) AS e FROM scored GROUP BY approach), w AS (SELECT max(e) FILTER (WHERE approach = 'brand_geomean') AS a, max(e) FILTER (WHERE approach = 'brand_last_level') AS f FROM b) SELECT 'temporal' AS split, a AS brand_geomean_mdape, f AS brand_last_level_mdape, round(a - f, 2) AS gap_pct_points FROM w",
+    "worst_brands": f"WITH {_SCORED} SELECT brand, count(*) AS n, round(avg(abs(exp(y_pred - y_true) - 1)) * 100, 6) AS mape FROM scored WHERE approach = 'brand_last_level' GROUP BY brand ORDER BY avg(abs(exp(y_pred - y_true) - 1)) DESC, brand LIMIT 3",
+    "drift_report": f"WITH {_LEVELS}, {_TRENDS} SELECT brand, n_weeks, round((exp(used_slope) - 1) * 100, 6) AS weekly_pct, round((exp(used_slope * 52) - 1) * 100, 6) AS annual_pct FROM t",
+    "levels_at": f"""WITH {_LEVELS}, {_TRENDS}, asked AS (SELECT brand, CAST(w AS INTEGER) AS week, CASE WHEN brand = 'nobody' THEN 'MARKET' ELSE brand END AS of_ FROM (SELECT DISTINCT brand FROM levels UNION ALL SELECT 'nobody'), range(-5, 141, 5) AS r(w)),
+      ends AS (SELECT brand AS of_, min(week) AS a, max(week) AS z, arg_min(level, week) AS first FROM levels GROUP BY brand)
+      SELECT q.brand, q.week, round(CASE WHEN q.week > z THEN anchor + used_slope * least(q.week - z, 13) WHEN q.week < a THEN first - used_slope * least(a - q.week, 13) ELSE coalesce(l.level, sy / sw + slope * (q.week - sx / sw)) END, 7) AS level
+      FROM asked q JOIN ends USING (of_) JOIN t ON t.brand = q.of_ LEFT JOIN levels l ON l.brand = q.of_ AND l.week = q.week""",
     "postcode_fields": f"WITH {_PARTS} SELECT risk_row_id, pc AS postcode, area_ AS area, district_ AS district, outcode_ AS outcode, sector_ AS sector, incode_ AS incode, unit_ AS unit, coalesce(ok OR t = 'GIR0AA', FALSE) AS postcode_valid, coalesce(area_ IN ('AB','DD','DG','EH','FK','G','HS','IV','KA','KW','KY','ML','PA','PH','TD','ZE','BT'), FALSE) AS beyond_england FROM parts",
     "sector_values": f"WITH {_PARTS} {_SECTORS.format('AND year_built >= 1900')}",
     "outcode_rank": f"WITH {_PARTS}, n AS (SELECT outcode_ AS outcode, count(*) AS n FROM parts WHERE outcode_ IS NOT NULL GROUP BY outcode_) SELECT outcode, n, round((rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2) / count(*) OVER (), 8) AS pct_rank FROM n",

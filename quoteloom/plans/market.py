@@ -50,7 +50,9 @@ def market_index_basket(spark, d):
 
 
 def brand_competitiveness(spark, d):
-    return rounded(market.brand_competitiveness(_quotes(spark, d), k=K, period="month"), "quote_rate_pct", "cheapest_share_pct", "top5_share_pct", "gap_to_top5_pct")
+    """The brands that win most first, then those most often among the cheapest, then by median rank."""
+    out = rounded(market.brand_competitiveness(_quotes(spark, d), k=K, period="month"), "quote_rate_pct", "cheapest_share_pct", "top5_share_pct", "gap_to_top5_pct")
+    return out.orderBy(F.col("cheapest_share_pct").desc(), F.col("top5_share_pct").desc(), F.col("median_rank").asc_nulls_last(), "brand")
 
 
 def channel_gap(spark, d):
